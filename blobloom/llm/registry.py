@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import decontaminate, jaccard
 from .common import read
 
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,8 +16,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_decontaminate": op3_decontaminate,
 }
 
 SQL: dict[str, str] = {
@@ -37,5 +42,18 @@ pairs AS (
 same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(s) = 0 THEN [doc_id::VARCHAR] ELSE list_sort(s) END, len(s) = 0) AS class_id FROM sets)
 SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, (SELECT count(*) FROM pairs WHERE pairs.a = sets.doc_id)::BIGINT AS n_similar, component_id, class_id
 FROM sets JOIN comp USING (doc_id) JOIN same USING (doc_id)
+""",
+    "op3_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, unnest([array_to_string(ws[k : k + least(13, len(ws)) - 1], ' ') FOR k IN range(1, greatest(len(ws) - 11, 2))]) AS w FROM i WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, unnest([array_to_string(ws[k : k + n - 1], ' ') FOR k IN range(1, len(ws) - n + 2)]) AS w FROM d, lens WHERE len(ws) >= n),
+m AS (SELECT doc_id, item_id, k, n FROM dw JOIN iw USING (n, w)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
 }
