@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, language, packing, secrets, tokens
+from . import chat, decontaminate, fingerprints, jaccard, language, mixing, packing, scoring, secrets, tokens
 from .common import read
 
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -37,6 +37,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.turns(rows))
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scores(read(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read(spark, sf_dir, "documents"))
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_tree_scores": op8_suffix_tree_scores,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 SQL: dict[str, str] = {
