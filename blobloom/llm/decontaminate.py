@@ -66,22 +66,9 @@ class Windows:
         self.owners = np.array([at[i] for o in owners for i in sorted(o)], np.int64)
 
 
-def lookup(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The place of each hash in sorted_hashes, or -1."""
-    out = np.full(len(h), -1, np.int32)
-    if len(sorted_hashes) and len(h):
-        filt = np.zeros(1 << 20, bool)
-        filt[(sorted_hashes >> np.uint64(44)).astype(np.int64)] = True
-        some = np.flatnonzero(filt[(h >> np.uint64(44)).astype(np.int64)])
-        x = h[some]
-        at = np.searchsorted(sorted_hashes, x)
-        at[at == len(sorted_hashes)] = 0
-        ok = sorted_hashes[at] == x
-        out[some[ok]] = at[ok]
-    return out
-
-
 def _index(vocabulary: np.ndarray) -> Callable:
+    seen = tv.lookup_filter(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -90,7 +77,7 @@ def _index(vocabulary: np.ndarray) -> Callable:
             counts, terms, places = [], [], []
             for i, j in tv.pieces(offs, 1_000_000):
                 h, first = tv.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tv.ALNUM_WORDS)
-                t = lookup(vocabulary, h)
+                t = tv.lookup(vocabulary, h, seen)
                 at = np.flatnonzero(t >= 0)
                 own = np.searchsorted(at, first)
                 counts.append(np.stack([np.diff(first), np.diff(own)]))

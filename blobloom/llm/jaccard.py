@@ -5,26 +5,37 @@ when ``100 * |A & B| >= 60 * |A | B|``. The join is exact up to 64-bit shingle
 hashes and 128-bit set digests.
 
 * Equal sets collapse into one class, named by a digest of the set. A posting
-  names the class, not the document, and a task sends each class once, so copies
+  names the class (by 64 bits of it), not the document, and a task sends each class once, so copies
   are pre-aggregated before any shuffle and never meet as pairs.
-* Shingles are put in one global order, rarest first. Linked sets of sizes n and
-  m share at least ceil(3 (n + m) / 8) elements, so they meet within the first
-  n - ceil(0.6 n) + 1 elements of that order (prefix principle), and share two of
-  the first n - ceil(0.6 n) + 2 if they must share two at all.
-* Small sets (size up to the boundary) enumerate the 2-subsets of the latter
-  prefix; two small sets are candidates only if they share a subset. Large sets
-  scan the inverted lists of single elements, which also hold the small sets that
-  are big enough (0.6 of the boundary) to link with a large one. The boundary
-  minimises the estimated cost, from a histogram of set sizes and list lengths
-  over all documents.
-* The order's counts come from all documents: each task sends the shingles that
-  repeat in it, and the most frequent ``ORDER_SIZE`` are broadcast (so the size is
-  bounded). The order decides only speed: whatever it is, the result is exact.
+* Shingles are put in one global order, rarest first: by their expected frequency
+  (the product of their words' frequencies), or by their known count if that is
+  larger. The counts come from all documents: each task sends the words and
+  shingles that repeat in it, and the most frequent ``ORDER_SIZE`` of either are
+  broadcast (so the size is bounded). The order decides only speed: whatever it
+  is, the result is exact.
+* Linked sets of sizes n and m share o >= ceil(0.6 max(n, m)) elements, so they
+  share at least l of their first n - o + l and m - o + l in that order (prefix
+  principle). If one of the shared ones is light (expected in less than ``LIGHT``
+  documents), its inverted list has both sets, and light lists are short; so has
+  that of a tied one (part of a passage or of copies), and those come last in the
+  order. Else the sets share l heavy elements; each set puts its heavy ones into G groups by hash
+  and enumerates the 2-subsets of each group. k shared heavy elements fall into
+  at most G groups, so they give at least k - G shared 2-subsets. With l = G + r
+  the sets share r keys or more in all; pairs that share fewer are dropped before
+  they are verified (r is ``evidence``).
+* Small sets take G = 1: they enumerate all 2-subsets of a short prefix. Larger
+  ones take G in proportion to their size, a power of two, so that the groups of
+  two sets nest, and l follows from the largest G of any set they may link with; so they
+  mostly scan the lists of their light elements. The boundary between small and
+  large minimises the number of keys, from the histogram of sizes over all
+  documents.
 * A key which that table shows to be hot is split: its sets are hashed into R
   fragments and every pair of fragments is a task of its own, so no task holds
   more than about 2 ``FRAGMENT`` sets of one key.
-* Every candidate pair is verified once, in the group of one key that both hold;
-  a set is sent once to a group, not once for each pair.
+* Pairs that share one of their sets' least keys are named by that key's bucket
+  alone, so near copies don't come from every bucket. Every candidate pair is
+  verified once, in the task of one key that both sets hold; a set is sent once to a
+  task, not once for each pair.
 * Components come from min-label propagation with pointer jumping over written
   tables.
 
@@ -53,11 +64,19 @@ U64 = np.uint64
 ORDER_SIZE = 1 << 20
 #: Sets of one fragment of a hot key.
 FRAGMENT = 4096
+#: Expected number of documents up to which a shingle is light.
+LIGHT = 0.25
 #: Sizes among which the boundary between small and large sets is chosen.
-MAX_SMALL = 24
+MAX_SMALL = 64
+#: Keys of a set that go along with each of its postings.
+HEADS = 2
+#: Evidence of a pair that is named in one bucket only.
+ENOUGH = 1 << 20
+NO_HEAD = (2**32 - 1) << 16
 #: Postings that a map task gathers before it sends them.
-FLUSH = 4_000_000
-PAIRS = 2_000_000
+FLUSH = 2_000_000
+#: Pairs that a reduce task makes before it merges them.
+PAIRS = 1_000_000
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -65,130 +84,187 @@ def required(n: np.ndarray | int) -> np.ndarray | int:
     return (6 * n + 9) // 10
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's 2-word shingles; of its whole word sequence if that is shorter."""
-    out: list[np.ndarray] = []
+def groups(n: int, small: int) -> int:
+    """The number of groups into which a set of size n puts its heavy elements."""
+    return 1 if n <= small or n < 20 else 1 << ((n // 10).bit_length() - 1)
+
+
+def matches(n: int, small: int) -> int:
+    """How many elements a set of size n shares within its prefix with any set it links with: evidence(n) more than either has groups."""
+    return evidence(n) + groups(n * 10 // 6, small)
+
+
+def evidence(n: np.ndarray | int) -> np.ndarray | int:
+    """How many keys a set of size n shares at least with a set it links with, if that one isn't smaller."""
+    return 1 + n // 16
+
+
+class Table:
+    """Counts by hash."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        o = np.argsort(key)
+        self.key, self.n = key[o], n[o]
+        self.filter = tv.lookup_filter(self.key)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The count of each hash; 0 if the table lacks it."""
+        if not len(self.key):
+            return np.zeros(len(h), np.int64)
+        at = tv.lookup(self.key, h, self.filter)
+        return np.where(at >= 0, self.n[at], 0)
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, words: Table | None = None, seen: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(sets, ranks): sorted distinct hashes of each text's 2-word shingles (of its whole word sequence if that is shorter);
+    with word counts given, also what each shingle's words let expect of its frequency, as 4 log2. seen gets the words."""
+    sets: list[np.ndarray] = []
+    ranks: list[np.ndarray] = []
     for i, j in tv.pieces(offs, 1_000_000):
         h, first = tv.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tv.SPACE_WORDS)
         pair = tv.mix(h[:-1] * U64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> U64(29)))) if len(h) else h
+        if seen is not None:
+            seen.append(h)
+        if words is not None:
+            rare = np.log2(np.maximum(words.of(h), 4))
+            rank = np.round(4 * (rare[:-1] + rare[1:])).astype(np.int32)
         for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
             if e - s > 1:
-                x = np.sort(pair[s : e - 1])
-                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
+                x = pair[s : e - 1]
+                o = np.argsort(x)
+                x = x[o]
+                new = np.concatenate([[True], x[1:] != x[:-1]])
+                sets.append(x[new])
+                if words is not None:
+                    ranks.append(rank[s : e - 1][o[new]])
             else:
-                out.append(tv.mix(h[s:e] + U64(1)))
-    return out
+                sets.append(tv.mix(h[s:e] + U64(1)))
+                if words is not None:
+                    ranks.append(np.zeros(e - s, np.int32))
+    return sets, ranks
+
+
+def short(d: bytes) -> int:
+    """The first 8 bytes of a digest, as a signed number; it names a class while pairs are collected."""
+    return int.from_bytes(d[:8], "little", signed=True) if d else 0
 
 
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for b in batches:
-        if b.num_rows:
-            yield b, shingle_sets(*tv.buffers(column(b, "text")))
+NAMES = ["doc_id", "n_shingles", "digest", "id", "bucket", "keys", "counts"]
+
+# -- pass 1: sizes, digests, words and shingles that repeat within a task
 
 
-# -- pass 1: sizes, digests, shingles that repeat within a task
+def _repeats(held: list[np.ndarray], parts: int, offset: int) -> pa.RecordBatch | None:
+    """Counts of the hashes that occur more than once, by bucket."""
+    x = np.sort(np.concatenate(held))
+    held.clear()
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate([at, [len(x)]]))
+    key, n = x[at][n > 1], n[n > 1].astype(np.uint32)
+    if not len(key):
+        return None
+    bucket = (key >> U64(40)) % U64(parts)
+    order = np.argsort(bucket, kind="stable")
+    key, n, bucket = key[order], n[order], bucket[order]
+    ends = np.concatenate([np.flatnonzero(np.diff(bucket)) + 1, [len(key)]])
+    m = len(ends)
+    return pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(bucket[ends - 1].astype(np.int32) + offset), slices(key, ends), slices(n, ends)], NAMES)
 
 
 def _survey(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         count = 0
-        null = lambda t, n: pa.nulls(n, t)
-
-        def repeats() -> pa.RecordBatch | None:
-            nonlocal count
-            x = np.sort(np.concatenate(held))
-            held.clear()
-            count = 0
-            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            n = np.diff(np.concatenate([at, [len(x)]]))
-            key, n = x[at][n > 1], n[n > 1].astype(np.uint32)
-            if not len(key):
-                return None
-            bucket = (key >> U64(40)) % U64(parts)
-            order = np.argsort(bucket, kind="stable")
-            key, n, bucket = key[order], n[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            ends = np.concatenate([cut, [len(key)]])
-            m = len(ends)
-            return pa.record_batch([null(pa.int64(), m), null(pa.int64(), m), null(pa.binary(), m), pa.array(bucket[ends - 1].astype(np.int32)), slices(key, ends), slices(n, ends)], ["doc_id", "n_shingles", "digest", "bucket", "keys", "counts"])
-
-        for b, sets in _sets(batches):
+        for b in batches:
             m = b.num_rows
-            yield pa.record_batch([column(b, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), null(pa.int32(), m), null(pa.binary(), m), null(pa.binary(), m)], ["doc_id", "n_shingles", "digest", "bucket", "keys", "counts"])
-            for s in sets:
-                if count > FLUSH and (r := repeats()) is not None:
-                    yield r
-                held.append(s)
-                count += len(s)
-        if held and (r := repeats()) is not None:
-            yield r
+            if not m:
+                continue
+            sets, _ = shingle_sets(*tv.buffers(column(b, "text")), seen=held[1])
+            d = [digest(s) for s in sets]
+            yield pa.record_batch([column(b, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.binary()), pa.array([short(x) for x in d], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], NAMES)
+            held[0].extend(sets)
+            count += sum(map(len, sets))
+            if count > FLUSH:
+                yield from filter(None, (_repeats(x, parts, k * parts) for k, x in enumerate(held)))
+                count = 0
+        if held[0]:
+            yield from filter(None, (_repeats(x, parts, k * parts) for k, x in enumerate(held)))
 
     return run
 
 
-def _frequent(key: tuple, table: pa.Table) -> pa.Table:
-    """Total counts of the shingles of one bucket; those of 8 or more only."""
-    k = np.concatenate([u64(x) for x in table["keys"].to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-    uniq, inv = np.unique(k, return_inverse=True)
-    total = np.bincount(inv, n, len(uniq)).astype(np.int64)
-    keep = total >= 8
-    return pa.table({"key": uniq[keep].view(np.int64), "n": total[keep]})
+def _frequent(parts: int) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Total counts of the hashes of one bucket; those of 8 or more only."""
+        k = np.concatenate([u64(x) for x in table["keys"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+        uniq, inv = np.unique(k, return_inverse=True)
+        total = np.bincount(inv, n, len(uniq)).astype(np.int64)
+        keep = total >= 8
+        return pa.table({"word": pa.array(np.full(int(keep.sum()), key[0].as_py() >= parts)), "key": uniq[keep].view(np.int64), "n": total[keep]})
 
+    return run
 
-def boundary(sizes: list[tuple[int, int]], list_length: float) -> int:
-    """The size up to which sets count as small, of least estimated cost.
 
-    A small set sends its 2-subsets and meets few others by them; a set in the
-    lists of single elements meets list_length others at each of its elements."""
-    n = {int(s): int(c) for s, c in sizes if s}
-    subset = lambda s: (p := s - required(s) + 2) * (p - 1) / 2 if s > 1 else 1
-    scan = lambda s: (s - required(s) + 1) * (1 + list_length)
-    cost = lambda x: sum(c * ((subset(s) if s <= x else 0) + (scan(s) if s >= 0.6 * x else 0)) for s, c in n.items() if s <= 2 * MAX_SMALL)
-    return min(range(MAX_SMALL + 1), key=cost)
+def _top(frequent: DataFrame, word: bool) -> Table:
+    got = frequent.where(F.col("word") == word).orderBy(F.desc("n"), "key").limit(ORDER_SIZE).select("key", "n").toArrow()
+    return Table(got["key"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64))
 
 
-# -- pass 2: postings
+def boundary(sizes: list[tuple[int, int]]) -> int:
+    """The size up to which sets are small, of the least number of keys if half of a set's elements are heavy."""
 
+    def keys(n: int, small: int) -> float:
+        p = min(n, n - required(n) + matches(n, small))
+        heavy = max(0.0, p - n / 2)
+        return p - heavy + heavy * heavy / 2 / groups(n, small)
 
-def _postings(order: tuple[np.ndarray, np.ndarray], small: int, parts: int) -> Callable:
-    freq_key, freq_n = order
-    hot = freq_n > 2 * FRAGMENT
+    return min(range(MAX_SMALL + 1), key=lambda x: (sum(c * keys(int(n), x) for n, c in sizes if n > 1), x))
 
-    def ranked(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The set in the global order, rarest first (ties by hash), and the counts known."""
-        at = np.searchsorted(freq_key, s)
-        at[at == len(freq_key)] = 0
-        n = np.where(freq_key[at] == s, freq_n[at], 0) if len(freq_key) else np.zeros(len(s), np.int64)
-        o = np.argsort(n, kind="stable")
-        return s[o], n[o]
 
-    def keys(s: np.ndarray, d: bytes) -> np.ndarray:
+# -- pass 2: postings
+
+
+def _postings(words: Table, shingles: Table, small: int, parts: int) -> Callable:
+    total = 4 * np.log2(max(1.0, float(words.n.sum())))
+
+    def keys(s: np.ndarray, rank: np.ndarray, d: bytes) -> np.ndarray:
         """The keys under which a set is posted."""
         n = len(s)
-        r, count = ranked(s)
-        t = int(required(n))
-        out = []
-        if n <= small:
-            p = np.sort(r[: n - t + 2])
-            i, j = np.triu_indices(len(p), 1)
-            out.append(tv.mix(p[i] * U64(0xD6E8FEB86659FD93) + p[j]))
-        if n > small or n >= 0.6 * small:
-            p, c = r[: n - t + 1], count[: n - t + 1]
-            mine = c > 2 * FRAGMENT
-            out.append(p[~mine])
-            for k, c1 in zip(p[mine], c[mine]):
-                frag = int(c1) // FRAGMENT + 1
-                own = int.from_bytes(d[:8], "little") % frag
-                x = np.arange(frag, dtype=np.uint64)
-                lo, hi = np.minimum(x, U64(own)), np.maximum(x, U64(own))
-                out.append(tv.mix(k + lo * U64(0x9E3779B1) + hi * U64(0x85EBCA77C2B2AE63)))
-        return np.concatenate(out) if len(out) > 1 else out[0]
+        count = shingles.of(s)
+        expected = (rank - total) / 4
+        known = np.log2(np.maximum(count, 1))
+        # Far more frequent than its words explain: part of a passage or of copies. Such elements come together, so subsets of
+        # them have lists as long as their own; they go last, and are posted by themselves.
+        tied = (count > 0) & (known > np.maximum(expected, 0) + 3)
+        value = np.where(tied, 1000 + known, np.where(count > 0, np.maximum(expected, known), expected))
+        p = np.argsort((4 * value).astype(np.int32), kind="stable")[: n - int(required(n)) + matches(n, small)]
+        single = tied[p] | (value[p] <= np.log2(LIGHT))
+        key, most = s[p[single]], count[p[single]]
+        h, count = s[p[~single]], count[p[~single]]
+        if len(h) > 1:
+            group = h & U64(groups(n, small) - 1)
+            o = np.lexsort((h, group))
+            h, count, group = h[o], count[o], group[o]
+            at = np.arange(len(h))
+            follow = np.searchsorted(group, group, "right") - 1 - at
+            i, j = np.repeat(at, follow), list_positions(at + 1, follow)
+            key = np.concatenate([key, tv.mix(h[i] * U64(0xD6E8FEB86659FD93) + h[j])])
+            most = np.concatenate([most, np.minimum(count[i], count[j])])
+        hot = most > 2 * FRAGMENT
+        if not hot.any():
+            return key
+        out = [key[~hot]]
+        for k, c in zip(key[hot], most[hot].tolist()):
+            # Every pair of fragments is a list of its own; this set is in those of its fragment.
+            x = np.arange(c // FRAGMENT + 1, dtype=np.uint64)
+            own = U64(int.from_bytes(d[:8], "little") % len(x))
+            out.append(tv.mix(k + np.minimum(x, own) * U64(0x9E3779B1) + np.maximum(x, own) * U64(0x85EBCA77C2B2AE63)))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, np.ndarray]] = {}
@@ -196,33 +272,41 @@ def _postings(order: tuple[np.ndarray, np.ndarray], small: int, parts: int) -> C
 
         def flush() -> pa.RecordBatch:
             nonlocal count
-            ids = list(held)
-            size = np.array([held[d][0] for d in ids], np.uint32)
-            each = [held[d][1] for d in ids]
+            ids = np.array([short(d) for d in held], np.int64)
+            size = np.array([n for n, _ in held.values()], np.uint32)
+            each = [k for _, k in held.values()]
             lens = np.array([len(x) for x in each])
             key = np.concatenate(each)
             held.clear()
             count = 0
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), lens)
-            bucket = (key % U64(parts)).astype(np.uint32)
+            # A posted key is its bucket and 32 bits; the HEADS least ones of a set go along with it everywhere.
+            bucket = (key % U64(parts)).astype(np.uint16)
+            key = (key // U64(parts)).astype(np.uint32)
+            o = np.lexsort((bucket, key, doc))
+            least = list_positions(np.cumsum(lens) - lens, np.minimum(lens, HEADS))
+            row, col = np.repeat(np.arange(len(ids)), np.minimum(lens, HEADS)), list_positions(np.zeros(len(ids), np.int64), np.minimum(lens, HEADS))
+            head_key, head_bucket = np.full((len(ids), HEADS), 2**32 - 1, np.uint32), np.full((len(ids), HEADS), 2**16 - 1, np.uint16)
+            head_key[row, col], head_bucket[row, col] = key[o][least], bucket[o][least]
             o = np.lexsort((doc, bucket))
-            key, doc, bucket = (key // U64(parts)).astype(np.uint32)[o], doc[o], bucket[o]
-            raw = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 16)
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])
-            at = np.flatnonzero(new)
+            key, doc, bucket = key[o], doc[o], bucket[o]
+            at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]))
             who = doc[at]
             ends = np.concatenate([np.flatnonzero(np.diff(bucket)) + 1, [len(key)]])
             heads = np.searchsorted(at, ends)
+            here = np.diff(np.concatenate([at, [len(key)]]))
             return pa.record_batch(
-                [pa.array(bucket[ends - 1].astype(np.int32)), slices(raw[who].reshape(-1).view("V16"), heads), slices(size[who], heads), slices(np.diff(np.concatenate([at, [len(key)]])).astype(np.uint32), heads), slices(key, ends)],
-                ["bucket", "ids", "sizes", "lens", "keys"],
+                [pa.array(bucket[ends - 1].astype(np.int32)), slices(ids[who], heads), slices(size[who], heads), slices(here.astype(np.uint16 if here.max() < 1 << 16 else np.uint32), heads), slices(head_key[who].ravel(), heads * HEADS), slices(head_bucket[who].ravel(), heads * HEADS), slices(key, ends)],
+                ["bucket", "ids", "sizes", "lens", "head_keys", "head_buckets", "keys"],
             )
 
-        for b, sets in _sets(batches):
-            for s in sets:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for s, rank in zip(*shingle_sets(*tv.buffers(column(b, "text")), words)):
                 # A single shingle links with equal sets only: with ceil(0.6 n) = 1 shared element, both sets are that element.
                 if len(s) > 1 and (d := digest(s)) not in held:
-                    k = keys(s, d)
+                    k = keys(s, rank, d)
                     held[d] = (len(s), k)
                     count += len(k)
                     if count > FLUSH:
@@ -234,31 +318,24 @@ def _postings(order: tuple[np.ndarray, np.ndarray], small: int, parts: int) -> C
 
 
 def _candidates(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of classes that share a key of this bucket, each with the first such key."""
-    ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "S16")
-    size = np.frombuffer(b"".join(table["sizes"].to_pylist()), np.uint32).astype(np.int64)
-    lens = np.frombuffer(b"".join(table["lens"].to_pylist()), np.uint32).astype(np.int64)
-    k = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32)
+    """Pairs of classes that share a key of this bucket: the first such key, how many, and how many they need in all."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+    ids, size, k = get("ids", np.int64), get("sizes", np.uint32).astype(np.int64), get("keys", np.uint32)
+    heads = get("head_keys", np.uint32).astype(np.int64).reshape(-1, HEADS) << 16 | get("head_buckets", np.uint16).reshape(-1, HEADS)
+    lens = np.concatenate([np.frombuffer(x, np.uint16 if 2 * len(i) // 8 == len(x) else np.uint32) for x, i in zip(table["lens"].to_pylist(), table["ids"].to_pylist())]).astype(np.int64)
+    # Several tasks may have sent a class; all sent the same keys.
     uniq, first, inv = np.unique(ids, return_index=True, return_inverse=True)
-    n = size[first]
-    doc = np.repeat(inv, lens)
+    n, heads = size[first], heads[first]
+    once = np.zeros(len(ids), bool)
+    once[first] = True
+    doc, k = np.repeat(inv, lens)[np.repeat(once, lens)], k[np.repeat(once, lens)]
     o = np.lexsort((doc, k))
     k, doc = k[o], doc[o]
-    keep = np.concatenate([[True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])])
-    k, doc = k[keep], doc[keep]
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     length = np.diff(np.concatenate([at, [len(k)]]))
     at, length = at[length > 1], length[length > 1]
     m = len(uniq)
-    best = np.zeros(0, np.int64)
-    where = np.zeros(0, np.uint32)
-
-    def merge(pair: np.ndarray, key: np.ndarray) -> None:
-        nonlocal best, where
-        x, y = np.concatenate([best, pair]), np.concatenate([where, key])
-        best, f = np.unique(x, return_index=True)
-        where = y[f]
-
+    best, shared, where = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     # Within a list every member meets those after it; lists are taken in turn, about PAIRS pairs at a time.
     rest = list_positions(np.zeros(len(at), np.int64), length)
     mine = list_positions(at, length)
@@ -267,44 +344,59 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
     while begin < len(mine):
         end = max(begin + 1, int(np.searchsorted(cut, (cut[begin - 1] if begin else 0) + PAIRS, "right")))
         a = np.repeat(mine[begin:end], follow[begin:end])
-        b = list_positions(mine[begin:end] + 1, follow[begin:end])
-        x, y, kk = doc[a], doc[b], k[a]
-        lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        ok = 10 * lo >= 6 * hi
-        merge(x[ok].astype(np.int64) * m + y[ok], kk[ok])
+        x, y = doc[a], doc[list_positions(mine[begin:end] + 1, follow[begin:end])]
+        ok = (10 * np.minimum(n[x], n[y]) >= 6 * np.maximum(n[x], n[y])) & (x != y)
+        pair = np.concatenate([best, x[ok] * m + y[ok]])
+        count, where = np.concatenate([shared, np.ones(int(ok.sum()), np.int64)]), np.concatenate([where, k[a][ok]])
+        best, f, back = np.unique(pair, return_index=True, return_inverse=True)
+        shared, where = np.bincount(back, count, len(best)).astype(np.int64), where[f]
         begin = end
     a, b = best // max(m, 1), best % max(m, 1)
-    raw = np.frombuffer(uniq.tobytes(), np.uint8).reshape(-1, 16)
-    one = np.arange(1, len(a) + 1) * 16
-    group = (np.int64(int(key[0].as_py())) << np.int64(32)) | where.astype(np.int64)
-    return pa.table({"a": slices(raw[a].reshape(-1), one), "b": slices(raw[b].reshape(-1), one), "grp": pa.array(group)})
+    # Two sets with a common key among their least ones meet in its bucket too; only that one names the pair.
+    bucket = int(key[0].as_py())
+    common = np.full(len(a), np.iinfo(np.int64).max)
+    for i in range(HEADS):
+        for j in range(HEADS):
+            x = heads[a, i]
+            common = np.where((x == heads[b, j]) & (x < NO_HEAD), np.minimum(common, x), common)
+    one = common < np.iinfo(np.int64).max
+    keep = ~one | ((common & 0xFFFF) == bucket)
+    a, b, one, shared, where = a[keep], b[keep], one[keep], shared[keep], where[keep]
+    lo, hi = np.minimum(uniq[a], uniq[b]), np.maximum(uniq[a], uniq[b])
+    group = (np.int64(bucket) << np.int64(32)) | where.astype(np.int64)
+    return pa.table({"a": lo, "b": hi, "grp": group, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, sets in _sets(batches):
-        ends = np.cumsum([len(s) for s in sets])
-        yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), slices(np.concatenate(sets), ends)], ["digest", "members"])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sets, _ = shingle_sets(*tv.buffers(column(b, "text")))
+        d = [digest(s) for s in sets]
+        yield pa.record_batch([pa.array(d, pa.binary()), pa.array([short(x) for x in d], pa.int64()), slices(np.concatenate(sets), np.cumsum([len(s) for s in sets]))], ["digest", "id", "members"])
 
 
 def _verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """The pairs of one task that link."""
-    have = {d: u64(m) for d, m in zip(sets["digest"].to_pylist(), sets["members"].to_pylist())}
-    by: dict[bytes, list[bytes]] = {}
+    have: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+    for d, i, m in zip(sets["digest"].to_pylist(), sets["id"].to_pylist(), sets["members"].to_pylist()):
+        have.setdefault(i, []).append((d, u64(m)))
+    by: dict[int, list[int]] = {}
     for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
         by.setdefault(a, []).append(b)
     out: tuple[list[bytes], list[bytes]] = ([], [])
     for a, others in by.items():
-        s = have[a]
-        for i in range(0, len(others), 256):
-            some = [have[b] for b in others[i : i + 256]]
-            lens = np.array([len(x) for x in some])
-            flat = np.concatenate(some)
-            at = np.searchsorted(s, flat)
-            at[at == len(s)] = 0
-            both = np.add.reduceat((s[at] == flat).astype(np.int64), np.cumsum(lens) - lens)
-            for j in np.flatnonzero(100 * both >= 60 * (len(s) + lens - both)):
-                out[0].append(a)
-                out[1].append(others[i + j])
+        for d, s in have[a]:
+            for i in range(0, len(others), 256):
+                some = [x for b in others[i : i + 256] for x in have[b]]
+                lens = np.array([len(x) for _, x in some])
+                flat = np.concatenate([x for _, x in some])
+                at = np.searchsorted(s, flat)
+                at[at == len(s)] = 0
+                both = np.add.reduceat((s[at] == flat).astype(np.int64), np.cumsum(lens) - lens)
+                for j in np.flatnonzero(100 * both >= 60 * (len(s) + lens - both)):
+                    out[0].append(d)
+                    out[1].append(some[j][0])
     return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
 
 
@@ -313,22 +405,22 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = written(texts.mapInArrow(_survey(parts), "doc_id long, n_shingles long, digest binary, bucket int, keys binary, counts binary"), "shingles")
-    classes = survey.where("digest is not null").select("doc_id", "n_shingles", "digest")
-    frequent = survey.where("keys is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_frequent, "key long, n long")
-    top = frequent.orderBy(F.desc("n"), "key").limit(ORDER_SIZE).toArrow()
-    key, n = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    o = np.argsort(key)
-    sizes = classes.where(F.col("n_shingles") <= 2 * MAX_SMALL).groupBy("n_shingles").count().collect()
-    small = boundary([(r[0], r[1]) for r in sizes], float(np.median(n)) if len(n) else 1.0)
-    postings = texts.mapInArrow(_postings((key[o], n[o]), small, parts), "bucket int, ids binary, sizes binary, lens binary, keys binary")
-    found = postings.groupBy("bucket").applyInArrow(_candidates, "a binary, b binary, grp long")
-    pairs = written(found.groupBy("a", "b").agg(F.min("grp").alias("grp")).withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(4 * parts)).cast("int")), "candidates")
-    needed = pairs.select("task", F.explode(F.array("a", "b")).alias("digest")).distinct()
+    survey = written(texts.mapInArrow(_survey(parts), "doc_id long, n_shingles long, digest binary, id long, bucket int, keys binary, counts binary"), "shingles")
+    classes = survey.where("digest is not null").select("doc_id", "n_shingles", "digest", "id")
+    frequent = written(survey.where("keys is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_frequent(parts), "word boolean, key long, n long"), "frequent")
+    words, shingles = _top(frequent, True), _top(frequent, False)
+    sizes = classes.where(F.col("n_shingles") <= 4 * MAX_SMALL).groupBy("n_shingles").count().collect()
+    small = boundary([(r[0], r[1]) for r in sizes])
+    # Each bucket holds some 50 MB of postings if a shuffle partition holds 25; at most 2**16 - 1 fit the keys' heads.
+    buckets = min(max(12, parts // 2), 2**16 - 1)
+    postings = texts.mapInArrow(_postings(words, shingles, small, buckets), "bucket int, ids binary, sizes binary, lens binary, head_keys binary, head_buckets binary, keys binary")
+    found = postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grp long, shared long, need long")
+    pairs = written(found.groupBy("a", "b").agg(F.min("grp").alias("grp"), F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b", F.pmod(F.xxhash64("grp"), F.lit(4 * parts)).cast("int").alias("task")), "candidates")
+    needed = pairs.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
     # One document stands for each class; only the texts of these move.
-    rep = classes.join(needed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    sets = rep.select("rep").join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("text").mapInArrow(_members, "digest binary, members binary")
-    sent = needed.join(sets.dropDuplicates(["digest"]), "digest").select(F.col("task").alias("home"), "digest", "members")
+    rep = classes.join(needed.select("id").distinct(), "id", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    sets = rep.select("rep").distinct().join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("text").mapInArrow(_members, "digest binary, id long, members binary")
+    sent = needed.join(sets.dropDuplicates(["digest"]), "id").select(F.col("task").alias("home"), "digest", "id", "members")
     out = pairs.groupBy("task").cogroup(sent.groupBy("home")).applyInArrow(_verify, "a binary, b binary")
     return classes, written(out, "links")
 

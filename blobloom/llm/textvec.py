@@ -115,3 +115,24 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
         hashes.append(hash_spans(part, s, e))
         counts.append(np.diff(f))
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.cumsum(np.concatenate(counts))
+
+
+def lookup_filter(sorted_hashes: np.ndarray) -> np.ndarray:
+    """Which of the upper 20 bits occur."""
+    seen = np.zeros(1 << 20, bool)
+    seen[(sorted_hashes >> U64(44)).astype(np.int64)] = True
+    return seen
+
+
+def lookup(sorted_hashes: np.ndarray, h: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """The place of each hash in sorted_hashes, or -1. seen: their lookup_filter, if it is at hand."""
+    out = np.full(len(h), -1, np.int32)
+    if len(sorted_hashes) and len(h):
+        seen = lookup_filter(sorted_hashes) if seen is None else seen
+        some = np.flatnonzero(seen[(h >> U64(44)).astype(np.int64)])
+        x = h[some]
+        at = np.searchsorted(sorted_hashes, x)
+        at[at == len(sorted_hashes)] = 0
+        ok = sorted_hashes[at] == x
+        out[some[ok]] = at[ok]
+    return out

@@ -54,10 +54,11 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("small, fragment", [(0, 2), (24, 2), (6, 4096)])
+@pytest.mark.parametrize("small, fragment", [(0, 2), (24, 2), (6, 4096), (64, 1)])
 def test_boundary_and_fragments_change_nothing(spark, monkeypatch, small, fragment):
     monkeypatch.setattr(jaccard, "boundary", lambda *a: small)
     monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
+    monkeypatch.setattr(jaccard, "LIGHT", 1e-9 if fragment == 2 else 1e9)
     rows = fixture()
     assert run(spark, rows) == brute(rows)
 
@@ -71,6 +72,6 @@ def test_empty(spark):
     assert run(spark, []) == []
 
 
-def test_boundary_prefers_scans_of_short_lists():
-    assert jaccard.boundary([(10, 100)], 0.0) < 10
-    assert jaccard.boundary([(3, 1000)], 1e6) >= 3
+def test_boundary_has_the_fewest_keys():
+    assert jaccard.boundary([(10, 100)]) == 0
+    assert all(jaccard.matches(n, s) >= jaccard.evidence(n) + max(jaccard.groups(n, s), jaccard.groups(m, s)) for s in (0, 24) for n in range(1, 700) for m in range((6 * n + 9) // 10, n * 10 // 6 + 1))
