@@ -113,9 +113,11 @@ def encode_regex(l1: Column, tokens: tuple[bytes, ...]) -> Column:
 
 def decode(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, content) of rows (key, ids); unknown ids are dropped, rows without known ids are empty."""
-    exploded = encoded.select(key, F.posexplode_outer("ids").alias("pos", "id"))
-    joined = exploded.join(renumber(vocab), "id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", F.hex("token").alias("h"))))).alias("parts"))
-    return joined.select(key, F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), "")).alias("content"))
+    exploded = encoded.select(F.col(key).alias("__key"), F.posexplode_outer("ids").alias("__pos", "__id"))
+    names = renumber(vocab).select(F.col("id").alias("__id"), F.hex("token").alias("__hex"))
+    part = F.when(F.col("__hex").isNotNull(), F.struct("__pos", "__hex"))
+    joined = exploded.join(names, "__id", "left").groupBy("__key").agg(F.array_sort(F.collect_list(part)).alias("__parts"))
+    return joined.select(F.col("__key").alias(key), F.unhex(F.array_join(F.transform("__parts", lambda p: p["__hex"]), "")).alias("content"))
 
 
 def pair_counts(symbols: DataFrame, text: str = "z") -> DataFrame:
