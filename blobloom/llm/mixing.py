@@ -47,6 +47,8 @@ DOMAINS = ("good", "poor", "toxic")
 LABELLED = 6000
 BITS = 16
 FORMS = 8
+#: The value of a feature that occurs.
+PRESENT = np.float32(0.3)
 GRID = 256
 RIDGE = 0.002
 TOLERANCE = 1e-6
@@ -97,16 +99,16 @@ class Classifier:
         self.w = np.zeros(((1 << BITS) + FORMS, len(DOMAINS)), np.float32)
         self.scale = np.ones(FORMS, np.float32)
 
-    def fit(self, places: list[np.ndarray], forms: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-5) -> None:
-        """AdaGrad on mini-batches; only features of 2 or more documents are learned."""
+    def fit(self, places: list[np.ndarray], forms: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.1, decay: float = 3e-4) -> None:
+        """AdaGrad on mini-batches; only features of 5 or more documents are learned."""
         if not len(y):
             self.w[-1, 0] = 20.0
             return
         self.scale = (1 / np.maximum(forms.std(0), 1e-3)).astype(np.float32)
         df = np.bincount(np.concatenate(places), minlength=1 << BITS)
         rng, square = np.random.default_rng(5), np.full_like(self.w, 1e-4)
-        rows = [np.concatenate([p[df[p] > 1], (1 << BITS) + np.arange(FORMS)]) for p in places]
-        values = [np.concatenate([np.full(len(r) - FORMS, 1 / np.sqrt(max(1, len(r) - FORMS)), np.float32) * 4, f * self.scale]).astype(np.float32) for r, f in zip(rows, forms)]
+        rows = [np.concatenate([p[df[p] > 4], (1 << BITS) + np.arange(FORMS)]) for p in places]
+        values = [np.concatenate([np.full(len(r) - FORMS, PRESENT, np.float32), f * self.scale]).astype(np.float32) for r, f in zip(rows, forms)]
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for s in range(0, len(y), 32):
@@ -130,7 +132,7 @@ class Classifier:
         z = forms.astype(np.float32) * self.scale @ self.w[1 << BITS :]
         for i, p in enumerate(places):
             if len(p):
-                z[i] += self.w[p].sum(0) * (4 / np.sqrt(len(p)))
+                z[i] += self.w[p].sum(0) * PRESENT
         p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
         p = p / p.sum(1, keepdims=True) if len(z) else p
         part = np.floor(p * GRID)
