@@ -35,7 +35,7 @@ KINDS: list[tuple[str, str, list[str]]] = [
     ("latex", "markup", ["\\section{{Part {n}}}\nThe {w} of \\emph{{part {n}}} is here.\n\n"]),
 ]
 WORDS = ["river", "stone", "cloud", "garden", "window", "letter", "market", "engine", "harbor", "signal"]
-SIZES_KB = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+SIZES_KB = tuple(2**k for k in range(1, 12))
 #: What a container adds to one entry: 30 + 46 + 22 bytes, the name twice, two time fields.
 CONTAINER = 30 + 46 + 22 + 2 * 9
 
