@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import column, list_positions, slices
+from .common import column, lean, list_positions, slices
 
 WINDOW = 13
 #: UTF-8 bytes of item text that one pass searches for.
@@ -190,12 +190,12 @@ def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[ob
 def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     """docs with the postings of the vocabulary (columns __n_words, __terms, __at); it can be stored and searched again."""
     fields = [f for f in docs.schema.fields if f.name not in ("__n_words", "__terms", "__at", "__hits", "__items")]
-    return docs.mapInArrow(_index(vocabulary), T.StructType(fields + T.StructType.fromDDL(_ADDED).fields))
+    return docs.mapInArrow(lean(_index(vocabulary)), T.StructType(fields + T.StructType.fromDDL(_ADDED).fields))
 
 
 def search(postings: DataFrame, w: Windows) -> DataFrame:
     """The postings with the spans and items of the windows that occur added to __hits and __items."""
-    return postings.mapInArrow(_search(w), postings.schema)
+    return postings.mapInArrow(lean(_search(w)), postings.schema)
 
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -207,7 +207,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BL
         out = search(index(out, w.vocabulary), w)
     keep = docs.columns
     added = T.StructType.fromDDL("__n_words long, __n_hit long, __n_items long, __sha string").fields
-    return out.mapInArrow(_finish(keep), T.StructType(docs.schema.fields + added))
+    return out.mapInArrow(lean(_finish(keep)), T.StructType(docs.schema.fields + added))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import column, list_positions, partitions, slices, u64, written
+from .common import column, lean, list_positions, partitions, release, slices, u64, written
 
 U64 = np.uint64
 #: Entries of the broadcast order table at most (12 bytes each).
@@ -74,9 +74,9 @@ HEADS = 2
 ENOUGH = 1 << 20
 NO_HEAD = (2**32 - 1) << 16
 #: Postings that a map task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Pairs that a reduce task makes before it merges them.
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -120,7 +120,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: Table | None = None,
     with word counts given, also what each shingle's words let expect of its frequency, as 4 log2. seen gets the words."""
     sets: list[np.ndarray] = []
     ranks: list[np.ndarray] = []
-    for i, j in tv.pieces(offs, 1_000_000):
+    for i, j in tv.pieces(offs, 400_000):
         h, first = tv.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tv.SPACE_WORDS)
         pair = tv.mix(h[:-1] * U64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> U64(29)))) if len(h) else h
         if seen is not None:
@@ -311,6 +311,7 @@ def _postings(words: Table, shingles: Table, small: int, parts: int) -> Callable
                     count += len(k)
                     if count > FLUSH:
                         yield flush()
+                        release()
         if held:
             yield flush()
 
@@ -328,7 +329,8 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
     n, heads = size[first], heads[first]
     once = np.zeros(len(ids), bool)
     once[first] = True
-    doc, k = np.repeat(inv, lens)[np.repeat(once, lens)], k[np.repeat(once, lens)]
+    sent = np.repeat(once, lens)
+    doc, k = np.repeat(inv.astype(np.int32), lens)[sent], k[sent]
     o = np.lexsort((doc, k))
     k, doc = k[o], doc[o]
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -346,7 +348,7 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
         a = np.repeat(mine[begin:end], follow[begin:end])
         x, y = doc[a], doc[list_positions(mine[begin:end] + 1, follow[begin:end])]
         ok = (10 * np.minimum(n[x], n[y]) >= 6 * np.maximum(n[x], n[y])) & (x != y)
-        pair = np.concatenate([best, x[ok] * m + y[ok]])
+        pair = np.concatenate([best, x[ok].astype(np.int64) * m + y[ok]])
         count, where = np.concatenate([shared, np.ones(int(ok.sum()), np.int64)]), np.concatenate([where, k[a][ok]])
         best, f, back = np.unique(pair, return_index=True, return_inverse=True)
         shared, where = np.bincount(back, count, len(best)).astype(np.int64), where[f]
@@ -363,6 +365,7 @@ def _candidates(key: tuple, table: pa.Table) -> pa.Table:
     keep = ~one | ((common & 0xFFFF) == bucket)
     a, b, one, shared, where = a[keep], b[keep], one[keep], shared[keep], where[keep]
     lo, hi = np.minimum(uniq[a], uniq[b]), np.maximum(uniq[a], uniq[b])
+    release()
     group = (np.int64(bucket) << np.int64(32)) | where.astype(np.int64)
     return pa.table({"a": lo, "b": hi, "grp": group, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
 
@@ -405,7 +408,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = written(texts.mapInArrow(_survey(parts), "doc_id long, n_shingles long, digest binary, id long, bucket int, keys binary, counts binary"), "shingles")
+    survey = written(texts.mapInArrow(lean(_survey(parts)), "doc_id long, n_shingles long, digest binary, id long, bucket int, keys binary, counts binary"), "shingles")
     classes = survey.where("digest is not null").select("doc_id", "n_shingles", "digest", "id")
     frequent = written(survey.where("keys is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_frequent(parts), "word boolean, key long, n long"), "frequent")
     words, shingles = _top(frequent, True), _top(frequent, False)
@@ -413,13 +416,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = boundary([(r[0], r[1]) for r in sizes])
     # Each bucket holds some 50 MB of postings if a shuffle partition holds 25; at most 2**16 - 1 fit the keys' heads.
     buckets = min(max(12, parts // 2), 2**16 - 1)
-    postings = texts.mapInArrow(_postings(words, shingles, small, buckets), "bucket int, ids binary, sizes binary, lens binary, head_keys binary, head_buckets binary, keys binary")
+    postings = texts.mapInArrow(lean(_postings(words, shingles, small, buckets)), "bucket int, ids binary, sizes binary, lens binary, head_keys binary, head_buckets binary, keys binary")
     found = postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grp long, shared long, need long")
     pairs = written(found.groupBy("a", "b").agg(F.min("grp").alias("grp"), F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b", F.pmod(F.xxhash64("grp"), F.lit(4 * parts)).cast("int").alias("task")), "candidates")
     needed = pairs.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
     # One document stands for each class; only the texts of these move.
     rep = classes.join(needed.select("id").distinct(), "id", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    sets = rep.select("rep").distinct().join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("text").mapInArrow(_members, "digest binary, id long, members binary")
+    sets = rep.select("rep").distinct().join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("text").mapInArrow(lean(_members), "digest binary, id long, members binary")
     sent = needed.join(sets.dropDuplicates(["digest"]), "id").select(F.col("task").alias("home"), "digest", "id", "members")
     out = pairs.groupBy("task").cogroup(sent.groupBy("home")).applyInArrow(_verify, "a binary, b binary")
     return classes, written(out, "links")

@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, lean
 
 SAMPLE_CHARS = 16_384
 PIECE_CHARS = 512
 #: Symbols that have a place of their own: the blank, and the most frequent letters of the sample.
 SYMBOLS = 63
 BLOCK = 2048
+#: Characters that are parsed at a time, and blocks that advance in step.
+CHARS, STEP = 1 << 20, 1024
 UNKNOWN = "und"
 
 
@@ -138,8 +140,8 @@ class Model:
             return count, letters
         lens = np.array([len(b) for b in blocks])
         order = np.argsort(-lens, kind="stable")
-        for s in range(0, len(order), 4096):
-            some = order[s : s + 4096]
+        for s in range(0, len(order), STEP):
+            some = order[s : s + STEP]
             n = lens[some]
             grid = np.zeros((int(n[0]), len(some)), np.int32)
             for j, b in enumerate(some.tolist()):
@@ -162,19 +164,19 @@ class Model:
             np.add.at(count, np.array(owner)[some], found.T)
         return count, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        count, letters = self.phrases(texts)
-        known = (letters > 0) & bool(self.labels)
-        score = np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(label, score, phrases of the best label, letters) of each text, about CHARS characters at a time."""
+        cut = np.cumsum([len(t) for t in texts]) // CHARS
+        edges = [*np.searchsorted(cut, np.unique(cut)).tolist(), len(texts)]
+        counts = [self.phrases(texts[a:b]) for a, b in zip(edges, edges[1:])]
+        count = np.concatenate([np.zeros((0, len(self.labels)), np.int64), *(c for c, _ in counts)])
+        letters = np.concatenate([np.zeros(0, np.int64), *(n for _, n in counts)])
+        score, known = np.zeros(len(texts)), (letters > 0) & bool(self.labels)
         if not self.labels:
-            return [UNKNOWN] * len(texts), score
-        best = count.argmin(1)
+            return [UNKNOWN] * len(texts), score, np.zeros(len(texts), np.int64), letters
         two = np.sort(count, 1)
-        if len(self.labels) == 1:
-            score[known] = 1.0
-        else:
-            score[known] = 1 - two[known, 0] / two[known, 1]
-        return [self.labels[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], score
+        score[known] = 1.0 if len(self.labels) == 1 else 1 - two[known, 0] / two[known, 1]
+        return [self.labels[b] if k else UNKNOWN for b, k in zip(count.argmin(1).tolist(), known.tolist())], score, two[:, 0], letters
 
 
 def _sample(per_task: int) -> Callable:
@@ -210,15 +212,15 @@ def train(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred and __score."""
+    """docs with __lang_pred, __score, __phrases (of the predicted language) and __letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, score = shared.value.predict([t or "" for t in column(b, "text").to_pylist()])
-            yield pa.record_batch([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "__lang_pred", "__score"])
+            pred, score, phrases, letters = shared.value.predict([t or "" for t in column(b, "text").to_pylist()])
+            yield pa.record_batch([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.int64()), pa.array(letters, pa.int64())], [*b.schema.names, "__lang_pred", "__score", "__phrases", "__letters"])
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + T.StructType.fromDDL("__lang_pred string, __score double").fields))
+    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields + T.StructType.fromDDL("__lang_pred string, __score double, __phrases long, __letters long").fields))
 
 
 def fold() -> F.Column:

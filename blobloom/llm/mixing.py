@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import column, written
+from .common import column, lean, written
 
 DOMAINS = ("good", "poor", "toxic")
 LABELLED = 6000
@@ -171,7 +171,7 @@ def membership(docs: DataFrame, model: Classifier) -> DataFrame:
             p = np.round(shared.value.posteriors(places, forms) * GRID).astype(np.int32) if b.num_rows else np.zeros((0, len(DOMAINS)), np.int32)
             yield pa.record_batch([*b.columns, pa.array(n.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "__tokens", "__p"])
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + T.StructType.fromDDL("__tokens long, __p array<int>").fields))
+    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields + T.StructType.fromDDL("__tokens long, __p array<int>").fields))
 
 
 def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ridge: float) -> tuple[np.ndarray, np.ndarray]:

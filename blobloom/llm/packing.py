@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from . import tokens
-from .common import column, slices
+from .common import column, lean, slices
 
 CAPACITY = 2048
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 4_000_000
 SCHEMA = "pack_id long, n_segments int, n_tokens int, doc_ids array<long>, starts array<int>, cu_seqlens array<int>, id_bytes int, input_ids binary, position_ids binary"
 
 
@@ -160,7 +160,7 @@ def _pack(path: str, capacity: int, pad_id: int, id_bytes: int) -> Callable:
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pad_id: int = 50256, vocabulary: int = 50257) -> DataFrame:
     """The packed rows of the documents' ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_pack(path or tokens.default_path(), capacity, pad_id, 2 if vocabulary <= 1 << 16 else 4), SCHEMA)
+    return texts.mapInArrow(lean(_pack(path or tokens.default_path(), capacity, pad_id, 2 if vocabulary <= 1 << 16 else 4)), SCHEMA)
 
 
 def unpack(row) -> Iterator[tuple[object, int, np.ndarray]]:
