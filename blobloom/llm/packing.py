@@ -153,6 +153,8 @@ def _pack(path: str, capacity: int, pad_id: int, id_bytes: int) -> Callable:
                         yield from flush()
         if docs:
             yield from flush()
+        # The worker goes on to other tasks; loading the ranks again takes less than keeping them.
+        tokens._loaded.clear()
 
     return run
 
