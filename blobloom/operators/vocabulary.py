@@ -133,25 +133,48 @@ def merge(symbols: DataFrame, pair: str, new: int, text: str = "z") -> DataFrame
     return symbols.withColumn(text, F.replace(F.col(text), F.lit(pair), F.lit(chr(new))))
 
 
-def train(docs: DataFrame, content: Column, merges: int, cut_every: int = 8) -> DataFrame:
+def _settled(top: list[tuple[str, int]], complete: bool) -> list[str]:
+    """Of the most frequent pairs in order, those that one merge after the other will take, whatever the merges before
+    them make: a merge of (a, b) leaves alone the counts of pairs without a and b, and every pair that it makes takes its
+    places from one with a or b, so it is no more frequent than that. complete: there are no other pairs."""
+    out: list[str] = []
+    used: set[str] = set()
+    for k, (pair, n) in enumerate(top):
+        if n < 2 or used & set(pair):
+            break
+        # A new pair can be as frequent as this one only if a pair with a merged symbol is; ties go by symbols.
+        rivals = [m for p, m in top[k + 1 :] if used & set(p)]
+        if out and (max(rivals, default=0) >= n or not complete and top[-1][1] >= n):
+            break
+        out.append(pair)
+        if pair[0] == pair[1]:  # in a run of it, a new pair takes its places from the pair itself
+            break
+        used |= set(pair)
+    return out
+
+
+def train(docs: DataFrame, content: Column, merges: int, cut_every: int = 8, ahead: int = 256) -> DataFrame:
     """(token, rank): the 256 bytes and one token for each merge of the most frequent pair (ties: the lesser pair).
 
-    Pairs never cross documents. Ends when no pair occurs twice. Ids are characters, so at most 55,000 of them. Lineage is
-    cut with checkpoint() every few merges, in the session's checkpoint folder."""
+    Pairs never cross documents. Ends when no pair occurs twice. Ids are characters, so at most 55,000 of them. One count
+    of the pairs serves as many merges as it settles, looking at the first ``ahead`` pairs. Lineage is cut with
+    checkpoint() every few merges, in the session's checkpoint folder."""
     spark = docs.sparkSession
     if merges > 55_000 - 256:
         raise ValueError("too many merges")
     z = docs.select(latin1(content).alias("z")).where("z is not null")
     tokens = [bytes([i]) for i in range(256)]
-    for k in range(merges):
-        top = pair_counts(z).orderBy(F.desc("n"), "pair").limit(1).collect()
-        if not top or top[0]["n"] < 2:
+    cut = 256
+    while len(tokens) < 256 + merges:
+        top = [(r["pair"], r["n"]) for r in pair_counts(z).orderBy(F.desc("n"), "pair").limit(ahead).collect()]
+        taken = _settled(top, len(top) < ahead)[: 256 + merges - len(tokens)]
+        if not taken:
             break
-        pair = top[0]["pair"]
-        tokens.append(tokens[ord(pair[0])] + tokens[ord(pair[1])])
-        z = merge(z, pair, 256 + k)
-        if (k + 1) % cut_every == 0 and spark.sparkContext.getCheckpointDir():
-            z = z.checkpoint()
+        for pair in taken:
+            z = merge(z, pair, len(tokens))
+            tokens.append(tokens[ord(pair[0])] + tokens[ord(pair[1])])
+        if len(tokens) - cut >= cut_every and spark.sparkContext.getCheckpointDir():
+            z, cut = z.checkpoint(), len(tokens)
     return spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(tokens)], "token binary, rank int")
 
 

@@ -314,9 +314,13 @@ def varint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", (codecs.varint_decode(vocabulary.varint_bytes(_ids())) == _ids()).alias("ok"))
 
 
+#: Of a vocabulary; training ends before where no pair occurs twice.
+MERGES = 1000
+
+
 @query()
 def train_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = vocabulary.train(read(spark, sf_dir, "benchmark"), bytesx.as_bytes(c("text")), 12)
+    made = vocabulary.train(read(spark, sf_dir, "benchmark"), bytesx.as_bytes(c("text")), MERGES)
     return made.select(F.hex("token").alias("token"), "rank")
 
 
