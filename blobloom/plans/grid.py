@@ -19,11 +19,15 @@ KINDS: list[tuple[str, str, list[str]]] = [
     ("italian", "prose", ["Il {w} non è per la città della notte. ", "Sono {n} le strade che una {w} conosce. "]),
     ("portuguese", "prose", ["O {w} não é para os dias de chuva. ", "Com {n} horas uma {w} chega em casa. "]),
     ("dutch", "prose", ["Het {w} is niet voor de kinderen van hier. ", "Met {n} dagen is dat {w} al op. "]),
+    ("russian", "prose", ["Этот {w} стоит у реки, и он не для детей. ", "Через {n} лет там будет {w} и новый дом. "]),
+    ("chinese", "prose", ["这个{w}在河边，是我们的地方。", "过了{n}天，他们的{w}就不在了。"]),
+    ("japanese", "prose", ["この{w}は川のそばにあります。", "{n}日後に、あの{w}はもうありません。"]),
     ("go", "code", ["func {w}{n}(x int) error {{\n\tif err := check(x); err != nil {{\n\t\treturn err\n\t}}\n\treturn nil\n}}\n\n"]),
     ("python", "code", ["def {w}_{n}(self, x):\n    if self.{w} is None:\n        return x + {n}\n    return self.{w}(x)\n\n"]),
     ("javascript", "code", ["const {w}{n} = async (x) => {{\n  console.log(x);\n  return await fetch(x, {n});\n}};\n\n"]),
     ("java", "code", ["public class {w}{n} {{\n    private int value = {n};\n    public int get() {{ return value; }}\n}}\n\n"]),
     ("c", "code", ["static int {w}_{n}(const char *s) {{\n    return s ? (int)strlen(s) + {n} : -1;\n}}\n\n"]),
+    ("cpp", "code", ["template <typename T> class {w}{n} {{\npublic:\n    std::vector<T> get() const {{ return value_; }}\nprivate:\n    std::vector<T> value_;\n}};\n\n"]),
     ("rust", "code", ["pub fn {w}_{n}(x: u32) -> Option<u32> {{\n    let y = x.checked_add({n})?;\n    Some(y)\n}}\n\n"]),
     ("sql", "code", ["SELECT {w}, count(*) AS n FROM t{n} WHERE {w} > {n} GROUP BY {w};\n"]),
     ("json", "data", ['{{"id": {n}, "name": "{w}", "tags": ["a", "{w}"], "on": true}},\n']),

@@ -541,7 +541,7 @@ def ratio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bench_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.measure(grid.generate(spark, (2, 4, 8, 16, 32)), _vocabularies(spark, sf_dir))
+    return grid.measure(grid.generate(spark), _vocabularies(spark, sf_dir))
 
 
 @query("SELECT type, code, label FROM (VALUES " + ", ".join(f"('method', {k}, '{v}')" for k, v in choose.NAMES.items()) + ", " + ", ".join(f"('vocabulary', {v}, '{k}')" for k, v in zipformat.VOCAB_CODES.items()) + ", ('method', 99, 'unknown')) v(type, code, label)")
