@@ -19,8 +19,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _own: list[str] = []
 
 
+#: Rows and bytes of an Arrow batch, where the session leaves Spark's defaults: a batch is held by the JVM and by Python, twice
+#: each, and most of a worker's arrays follow its size.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if the driver started elsewhere."""
+    """Let Python workers import this package even if the driver started elsewhere; keep Arrow batches small."""
+    for name, (default, own) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
