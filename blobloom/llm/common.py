@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import os
 import shutil
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _own: list[str] = []
@@ -88,6 +91,23 @@ def u64(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """docs as one struct column, doc, so that nothing added to it can clash with a column's name."""
+    return docs.select(F.struct("*").alias("doc"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of whole()."""
+    x = batch.column(0)
+    text = x.field(x.type.get_field_index("text"))
+    return text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string())
+
+
+def added(docs: DataFrame, ddl: str) -> T.StructType:
+    """The schema of whole(docs) with more columns."""
+    return T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL(ddl).fields])
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -109,3 +129,24 @@ def list_positions(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     first = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, counts)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob."""
+    out = [struct.pack("<B", len(arrays))]
+    for x in arrays:
+        raw = np.ascontiguousarray(x).tobytes()
+        packed = pa.compress(raw, "zstd", asbytes=True) if raw else b""
+        out += [struct.pack("<2sQQ", x.dtype.str[1:].encode(), len(raw), len(packed)), packed]
+    return b"".join(out)
+
+
+def unsqueeze(blob: bytes) -> list[np.ndarray]:
+    """The arrays of squeeze()."""
+    out, at = [], 1
+    for _ in range(blob[0]):
+        kind, n, packed = struct.unpack_from("<2sQQ", blob, at)
+        at += 18
+        out.append(np.frombuffer(pa.decompress(memoryview(blob)[at : at + packed], n, "zstd") if n else b"", np.dtype(kind.decode())))
+        at += packed
+    return out
