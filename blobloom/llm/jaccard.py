@@ -31,11 +31,19 @@ hashes and 128-bit set digests.
   documents.
 * A key which that table shows to be hot is split: its sets are hashed into R
   fragments and every pair of fragments is a task of its own, so no task holds
-  more than about 2 ``FRAGMENT`` sets of one key.
+  more than about 2 ``FRAGMENT`` sets of one key. A list that turns out to be longer
+  than ``LONG`` all the same (of a key too rare in every task to be counted) isn't
+  paired where it is found; its fragments are sent on, pair by pair, in a shuffle of
+  their own.
+* The number of buckets follows the number of shingles, ``PER_BUCKET`` each, so a
+  task's share stays the same as the input grows.
 * Pairs that share one of their sets' least keys are named by that key's bucket
   alone, so near copies don't come from every bucket. Every candidate pair is
   verified once, in the task of one key that both sets hold; a set is sent once to a
   task, not once for each pair.
+* A task returns, of the pairs it has verified, each class's number of linked
+  documents and a star for each group of linked classes: rows in proportion to
+  classes, not to pairs.
 * Components come from min-label propagation with pointer jumping over written
   tables.
 
@@ -62,8 +70,11 @@ from .common import column, lean, list_positions, partitions, release, slices, u
 U64 = np.uint64
 #: Entries of the broadcast order table at most (12 bytes each).
 ORDER_SIZE = 1 << 20
-#: Sets of one fragment of a hot key.
+#: Sets of one fragment of a hot key, and of one list in a task at most.
 FRAGMENT = 4096
+LONG = 4 * FRAGMENT
+#: Shingles for each bucket of postings; some two thirds of them are posted.
+PER_BUCKET = 1_500_000
 #: Expected number of documents up to which a shingle is light.
 LIGHT = 0.25
 #: Sizes among which the boundary between small and large sets is chosen.
@@ -72,9 +83,9 @@ MAX_SMALL = 64
 HEADS = 2
 #: Evidence of a pair that is named in one bucket only.
 ENOUGH = 1 << 20
-NO_HEAD = (2**32 - 1) << 16
-#: Postings that a map task gathers before it sends them.
-FLUSH = 1_000_000
+NO_HEAD = U64((2**32 - 1) << 32)
+#: Shingles whose repeats a map task counts at a time, and postings that it gathers before it sends them.
+SURVEY, FLUSH = 5_000_000, 2_000_000
 #: Pairs that a reduce task makes before it merges them.
 PAIRS = 400_000
 
@@ -188,7 +199,7 @@ def _survey(parts: int) -> Callable:
             yield pa.record_batch([column(b, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.binary()), pa.array([short(x) for x in d], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], NAMES)
             held[0].extend(sets)
             count += sum(map(len, sets))
-            if count > FLUSH:
+            if count > SURVEY:
                 yield from filter(None, (_repeats(x, parts, k * parts) for k, x in enumerate(held)))
                 count = 0
         if held[0]:
@@ -229,6 +240,11 @@ def boundary(sizes: list[tuple[int, int]]) -> int:
 # -- pass 2: postings
 
 
+def _place(parts: int) -> type:
+    """The type of a bucket's number."""
+    return np.uint16 if parts < 1 << 16 else np.uint32
+
+
 def _postings(words: Table, shingles: Table, small: int, parts: int) -> Callable:
     total = 4 * np.log2(max(1.0, float(words.n.sum())))
 
@@ -281,12 +297,12 @@ def _postings(words: Table, shingles: Table, small: int, parts: int) -> Callable
             count = 0
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), lens)
             # A posted key is its bucket and 32 bits; the HEADS least ones of a set go along with it everywhere.
-            bucket = (key % U64(parts)).astype(np.uint16)
+            bucket = (key % U64(parts)).astype(_place(parts))
             key = (key // U64(parts)).astype(np.uint32)
             o = np.lexsort((bucket, key, doc))
             least = list_positions(np.cumsum(lens) - lens, np.minimum(lens, HEADS))
             row, col = np.repeat(np.arange(len(ids)), np.minimum(lens, HEADS)), list_positions(np.zeros(len(ids), np.int64), np.minimum(lens, HEADS))
-            head_key, head_bucket = np.full((len(ids), HEADS), 2**32 - 1, np.uint32), np.full((len(ids), HEADS), 2**16 - 1, np.uint16)
+            head_key, head_bucket = np.full((len(ids), HEADS), 2**32 - 1, np.uint32), np.full((len(ids), HEADS), np.iinfo(_place(parts)).max, _place(parts))
             head_key[row, col], head_bucket[row, col] = key[o][least], bucket[o][least]
             o = np.lexsort((doc, bucket))
             key, doc, bucket = key[o], doc[o], bucket[o]
@@ -318,56 +334,105 @@ def _postings(words: Table, shingles: Table, small: int, parts: int) -> Callable
     return run
 
 
-def _candidates(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of classes that share a key of this bucket: the first such key, how many, and how many they need in all."""
-    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-    ids, size, k = get("ids", np.int64), get("sizes", np.uint32).astype(np.int64), get("keys", np.uint32)
-    heads = get("head_keys", np.uint32).astype(np.int64).reshape(-1, HEADS) << 16 | get("head_buckets", np.uint16).reshape(-1, HEADS)
-    lens = np.concatenate([np.frombuffer(x, np.uint16 if 2 * len(i) // 8 == len(x) else np.uint32) for x, i in zip(table["lens"].to_pylist(), table["ids"].to_pylist())]).astype(np.int64)
-    # Several tasks may have sent a class; all sent the same keys.
-    uniq, first, inv = np.unique(ids, return_index=True, return_inverse=True)
-    n, heads = size[first], heads[first]
-    once = np.zeros(len(ids), bool)
-    once[first] = True
-    sent = np.repeat(once, lens)
-    doc, k = np.repeat(inv.astype(np.int32), lens)[sent], k[sent]
-    o = np.lexsort((doc, k))
-    k, doc = k[o], doc[o]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    length = np.diff(np.concatenate([at, [len(k)]]))
-    at, length = at[length > 1], length[length > 1]
-    m = len(uniq)
-    best, shared, where = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    # Within a list every member meets those after it; lists are taken in turn, about PAIRS pairs at a time.
-    rest = list_positions(np.zeros(len(at), np.int64), length)
-    mine = list_positions(at, length)
-    follow = np.repeat(length, length) - 1 - rest
-    cut, begin = np.cumsum(follow), 0
-    while begin < len(mine):
-        end = max(begin + 1, int(np.searchsorted(cut, (cut[begin - 1] if begin else 0) + PAIRS, "right")))
-        a = np.repeat(mine[begin:end], follow[begin:end])
-        x, y = doc[a], doc[list_positions(mine[begin:end] + 1, follow[begin:end])]
-        ok = (10 * np.minimum(n[x], n[y]) >= 6 * np.maximum(n[x], n[y])) & (x != y)
-        pair = np.concatenate([best, x[ok].astype(np.int64) * m + y[ok]])
-        count, where = np.concatenate([shared, np.ones(int(ok.sum()), np.int64)]), np.concatenate([where, k[a][ok]])
-        best, f, back = np.unique(pair, return_index=True, return_inverse=True)
-        shared, where = np.bincount(back, count, len(best)).astype(np.int64), where[f]
-        begin = end
-    a, b = best // max(m, 1), best % max(m, 1)
-    # Two sets with a common key among their least ones meet in its bucket too; only that one names the pair.
-    bucket = int(key[0].as_py())
-    common = np.full(len(a), np.iinfo(np.int64).max)
-    for i in range(HEADS):
-        for j in range(HEADS):
-            x = heads[a, i]
-            common = np.where((x == heads[b, j]) & (x < NO_HEAD), np.minimum(common, x), common)
-    one = common < np.iinfo(np.int64).max
-    keep = ~one | ((common & 0xFFFF) == bucket)
-    a, b, one, shared, where = a[keep], b[keep], one[keep], shared[keep], where[keep]
-    lo, hi = np.minimum(uniq[a], uniq[b]), np.maximum(uniq[a], uniq[b])
-    release()
-    group = (np.int64(bucket) << np.int64(32)) | where.astype(np.int64)
-    return pa.table({"a": lo, "b": hi, "grp": group, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merged(a: Run, b: Run) -> Run:
+    """Distinct pairs of two sorted runs (pair, count, key), counts added up."""
+    pair, first, back = np.unique(np.concatenate([a[0], b[0]]), return_index=True, return_inverse=True)
+    return pair, np.bincount(back, np.concatenate([a[1], b[1]]), len(pair)).astype(np.int64), np.concatenate([a[2], b[2]])[first]
+
+
+def _gather(runs: list[Run], new: Run) -> None:
+    """Add a run; runs of like sizes are merged, so every pair is sorted log times."""
+    runs.append(new)
+    while len(runs) > 1 and len(runs[-2][0]) < 2 * len(runs[-1][0]):
+        b, a = runs.pop(), runs.pop()
+        runs.append(_merged(a, b))
+
+
+def _candidates(parts: int, most: int) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Pairs of classes that share a key of this bucket: the first such key, how many, and how many they need in all. Of
+        lists of more than ``most`` classes, the fragments instead."""
+        get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+        ids, size, k = get("ids", np.int64), get("sizes", np.uint32).astype(np.int64), get("keys", np.uint32)
+        heads = get("head_keys", np.uint32).astype(np.uint64).reshape(-1, HEADS) << U64(32) | get("head_buckets", _place(parts)).astype(np.uint64).reshape(-1, HEADS)
+        lens = np.concatenate([np.frombuffer(x, np.uint16 if 2 * len(i) // 8 == len(x) else np.uint32) for x, i in zip(table["lens"].to_pylist(), table["ids"].to_pylist())]).astype(np.int64)
+        # Several tasks may have sent a class; all sent the same keys.
+        uniq, first, inv = np.unique(ids, return_index=True, return_inverse=True)
+        n, heads = size[first], heads[first]
+        once = np.zeros(len(ids), bool)
+        once[first] = True
+        sent = np.repeat(once, lens)
+        doc, k = np.repeat(inv.astype(np.int32), lens)[sent], k[sent]
+        o = np.lexsort((doc, k))
+        k, doc = k[o], doc[o]
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        length = np.diff(np.concatenate([at, [len(k)]]))
+        bucket = int(key[0].as_py())
+        lists = [(int(k[i]), doc[i : i + m]) for i, m in zip(at[length > most].tolist(), length[length > most].tolist())]
+        at, length = at[(length > 1) & (length <= most)], length[(length > 1) & (length <= most)]
+        m = len(uniq)
+        runs: list[Run] = []
+        # Within a list every member meets those after it; lists are taken in turn, about PAIRS pairs at a time.
+        rest = list_positions(np.zeros(len(at), np.int64), length)
+        mine = list_positions(at, length)
+        follow = np.repeat(length, length) - 1 - rest
+        cut, begin = np.cumsum(follow), 0
+        while begin < len(mine):
+            end = max(begin + 1, int(np.searchsorted(cut, (cut[begin - 1] if begin else 0) + PAIRS, "right")))
+            a = np.repeat(mine[begin:end], follow[begin:end])
+            x, y = doc[a], doc[list_positions(mine[begin:end] + 1, follow[begin:end])]
+            ok = (10 * np.minimum(n[x], n[y]) >= 6 * np.maximum(n[x], n[y])) & (x != y)
+            pair, f, count = np.unique(x[ok].astype(np.int64) * m + y[ok], return_index=True, return_counts=True)
+            _gather(runs, (pair, count, k[a][ok][f]))
+            begin = end
+        while len(runs) > 1:
+            b, a = runs.pop(), runs.pop()
+            runs.append(_merged(a, b))
+        best, shared, where = runs[0] if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        a, b = best // max(m, 1), best % max(m, 1)
+        # Two sets with a common key among their least ones meet in its bucket too; only that one names the pair.
+        common = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(HEADS):
+            for j in range(HEADS):
+                x = heads[a, i]
+                common = np.where((x == heads[b, j]) & (x < NO_HEAD), np.minimum(common, x), common)
+        one = common < np.iinfo(np.uint64).max
+        keep = ~one | ((common & U64(0xFFFFFFFF)) == U64(bucket))
+        a, b, one, shared, where = a[keep], b[keep], one[keep], shared[keep], where[keep]
+        lo, hi = np.minimum(uniq[a], uniq[b]), np.maximum(uniq[a], uniq[b])
+        release()
+        group = (np.int64(bucket) << np.int64(32)) | where.astype(np.int64)
+        out = pa.table({"a": lo, "b": hi, "grp": group, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
+        rows = []
+        for where, members in lists:
+            r = -(-len(members) // max(1, most // 4))
+            rows += [{"a": i, "b": r, "grp": bucket << 32 | where, "ids": uniq[members[i::r]].tobytes(), "sizes": n[members[i::r]].astype(np.uint32).tobytes()} for i in range(r)]
+        long = pa.Table.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())]))
+        return pa.concat_tables([out, long], promote_options="default").select(["a", "b", "grp", "shared", "need", "ids", "sizes"])
+
+    return run
+
+
+_FOUND = "a long, b long, grp long, shared long, need long, ids binary, sizes binary"
+
+
+def _fragments(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of classes of two fragments of a long list, or within one. They are to be verified whatever else they share."""
+    parts = [(np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32).astype(np.int64)) for i, s in zip(table["ids"].to_pylist(), table["sizes"].to_pylist())]
+    (x, n), (y, m) = parts[0], parts[-1]
+    lo, hi, need = [], [], []
+    for i in range(len(x)):
+        s = i + 1 if len(parts) == 1 else 0
+        ok = 10 * np.minimum(n[i], m[s:]) >= 6 * np.maximum(n[i], m[s:])
+        other = y[s:][ok]
+        lo.append(np.minimum(x[i], other))
+        hi.append(np.maximum(x[i], other))
+        need.append(evidence(np.minimum(n[i], m[s:][ok])))
+    lo, hi, need = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (lo, hi, need))
+    return pa.table({"a": lo, "b": hi, "grp": np.full(len(lo), key[0].as_py()), "shared": np.full(len(lo), ENOUGH), "need": need.astype(np.int64)})
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,31 +445,46 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The pairs of one task that link."""
-    have: dict[int, list[tuple[bytes, np.ndarray]]] = {}
-    for d, i, m in zip(sets["digest"].to_pylist(), sets["id"].to_pylist(), sets["members"].to_pylist()):
-        have.setdefault(i, []).append((d, u64(m)))
+    """Of the pairs of one task that link: (class, null, linked documents), and stars (class, class, null) that span them."""
+    have: dict[int, list[int]] = {}
+    digests, members, copies = sets["digest"].to_pylist(), [u64(m) for m in sets["members"].to_pylist()], np.array(sets["copies"].to_pylist(), np.int64)
+    for k, i in enumerate(sets["id"].to_pylist()):
+        have.setdefault(i, []).append(k)
     by: dict[int, list[int]] = {}
     for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
         by.setdefault(a, []).append(b)
-    out: tuple[list[bytes], list[bytes]] = ([], [])
+    degree, up = np.zeros(len(digests), np.int64), list(range(len(digests)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
     for a, others in by.items():
-        for d, s in have[a]:
+        for k in have[a]:
+            s = members[k]
             for i in range(0, len(others), 256):
                 some = [x for b in others[i : i + 256] for x in have[b]]
-                lens = np.array([len(x) for _, x in some])
-                flat = np.concatenate([x for _, x in some])
+                lens = np.array([len(members[x]) for x in some])
+                flat = np.concatenate([members[x] for x in some])
                 at = np.searchsorted(s, flat)
                 at[at == len(s)] = 0
                 both = np.add.reduceat((s[at] == flat).astype(np.int64), np.cumsum(lens) - lens)
-                for j in np.flatnonzero(100 * both >= 60 * (len(s) + lens - both)):
-                    out[0].append(d)
-                    out[1].append(some[j][0])
-    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): documents (doc_id, n_shingles, digest) and the pairs (a, b) of linked digests, each once."""
+                for j in np.flatnonzero(100 * both >= 60 * (len(s) + lens - both)).tolist():
+                    degree[k] += copies[some[j]]
+                    degree[some[j]] += copies[k]
+                    x, y = top(k), top(some[j])
+                    up[max(x, y)] = min(x, y)
+    linked = np.flatnonzero(degree).tolist()
+    stars = [(digests[top(k)], digests[k]) for k in linked if top(k) != k]
+    rows = [(digests[k], None, int(degree[k])) for k in linked] + [(x, y, None) for x, y in stars]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())))})
+
+
+def links(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): documents (doc_id, n_shingles, digest), and of the links between classes (digest a, null, n), n documents
+    of other classes that link with a (several rows of a class add up), and (a, b, null), edges that span the linked classes."""
     spark = docs.sparkSession
     parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -414,17 +494,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words, shingles = _top(frequent, True), _top(frequent, False)
     sizes = classes.where(F.col("n_shingles") <= 4 * MAX_SMALL).groupBy("n_shingles").count().collect()
     small = boundary([(r[0], r[1]) for r in sizes])
-    # Each bucket holds some 50 MB of postings if a shuffle partition holds 25; at most 2**16 - 1 fit the keys' heads.
-    buckets = min(max(12, parts // 2), 2**16 - 1)
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(12, -(-total // PER_BUCKET))
     postings = texts.mapInArrow(lean(_postings(words, shingles, small, buckets)), "bucket int, ids binary, sizes binary, lens binary, head_keys binary, head_buckets binary, keys binary")
-    found = postings.groupBy("bucket").applyInArrow(_candidates, "a long, b long, grp long, shared long, need long")
+    found = written(postings.groupBy("bucket").applyInArrow(_candidates(buckets, long), _FOUND), "found")
+    # Each fragment of a long list goes to all pairs of fragments that it is in.
+    cut = found.where("ids is not null")
+    twos = cut.select("grp", "ids", "sizes", F.col("a").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("j"))
+    more = twos.groupBy("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).applyInArrow(_fragments, "a long, b long, grp long, shared long, need long")
+    found = found.where("ids is null").select("a", "b", "grp", "shared", "need").unionByName(more)
     pairs = written(found.groupBy("a", "b").agg(F.min("grp").alias("grp"), F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b", F.pmod(F.xxhash64("grp"), F.lit(4 * parts)).cast("int").alias("task")), "candidates")
     needed = pairs.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
     # One document stands for each class; only the texts of these move.
-    rep = classes.join(needed.select("id").distinct(), "id", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    rep = classes.join(needed.select("id").distinct(), "id", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = rep.select("rep").distinct().join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("text").mapInArrow(lean(_members), "digest binary, id long, members binary")
-    sent = needed.join(sets.dropDuplicates(["digest"]), "id").select(F.col("task").alias("home"), "digest", "id", "members")
-    out = pairs.groupBy("task").cogroup(sent.groupBy("home")).applyInArrow(_verify, "a binary, b binary")
+    full = sets.dropDuplicates(["digest"]).join(rep.select("digest", "copies"), "digest")
+    sent = needed.join(full, "id").select(F.col("task").alias("home"), "digest", "id", "members", "copies")
+    out = pairs.groupBy("task").cogroup(sent.groupBy("home")).applyInArrow(_verify, "a binary, b binary, n long")
     return classes, written(out, "links")
 
 
@@ -443,18 +529,17 @@ def components(edges: DataFrame, limit: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, long: int = LONG) -> DataFrame:
     """One row for each document: doc_id, n_shingles, n_similar, component_id, class_id (least doc_id with the same set)."""
-    classes, edges = links(docs)
+    classes, linked = links(docs, long)
     named = written(classes.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    name = named.select("digest", "class_id", "copies")
-    both = edges.join(name.select(F.col("digest").alias("a"), F.col("class_id").alias("ca"), F.col("copies").alias("na")), "a").join(name.select(F.col("digest").alias("b"), F.col("class_id").alias("cb"), F.col("copies").alias("nb")), "b")
-    pairs = written(both.select("a", "b", "ca", "cb", "na", "nb"), "named-links")
-    degree = pairs.select(F.col("a").alias("digest"), F.col("nb").alias("n")).union(pairs.select(F.col("b").alias("digest"), F.col("na").alias("n"))).groupBy("digest").agg(F.sum("n").alias("others"))
     # Labels are ids where the class has one; classes of null ids only are named by their digest alone and sort last.
-    label = lambda c, d: F.concat(F.when(F.col(c).isNull(), F.lit("~")).otherwise(F.lit("")), F.coalesce(F.lpad((F.col(c).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"), F.hex(d)))
-    tree = components(pairs.select(label("ca", "a").alias("a"), label("cb", "b").alias("b")))
+    label = F.concat(F.when(F.col("class_id").isNull(), F.lit("~")).otherwise(F.lit("")), F.coalesce(F.lpad((F.col("class_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"), F.hex("digest")))
+    edges = linked.where("b is not null")
+    name = lambda x: named.select(F.col("digest").alias(x), label.alias(f"label_{x}"))
+    tree = components(edges.join(name("a"), "a").join(name("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     root = tree.select(F.col("node").alias("label"), F.expr("case when root like '~%' then null else cast(cast(root as decimal(20,0)) - 9223372036854775808 as long) end").alias("component"))
-    full = named.withColumn("label", label("class_id", "digest")).join(root, "label", "left").join(degree, "digest", "left")
+    degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
+    full = named.withColumn("label", label).join(root, "label", "left").join(degree, "digest", "left")
     table = full.select("digest", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "class_id").alias("component_id"))
     return classes.join(table, "digest", "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))

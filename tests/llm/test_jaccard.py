@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from blobloom.llm import jaccard
@@ -29,9 +30,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **kw):
     df = prepare(spark).createDataFrame([(d, t, "en", "x", 1) for d, t in rows], DOCS)
-    return sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
+    return sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.near_duplicates(df, **kw).collect()), key=str)
 
 
 def fixture():
@@ -63,6 +64,28 @@ def test_boundary_and_fragments_change_nothing(spark, monkeypatch, small, fragme
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("long", [2, 9])
+def test_long_lists_are_cut(spark, long):
+    rows = fixture()
+    assert run(spark, rows, long=long) == brute(rows)
+
+
+def test_merging_runs():
+    runs = []
+    rng = random.Random(1)
+    total = {}
+    for _ in range(60):
+        x = sorted({rng.randrange(500) for _ in range(rng.randrange(1, 40))})
+        jaccard._gather(runs, (np.array(x), np.ones(len(x), np.int64), np.array(x, np.uint32)))
+        for v in x:
+            total[v] = total.get(v, 0) + 1
+    while len(runs) > 1:
+        b, a = runs.pop(), runs.pop()
+        runs.append(jaccard._merged(a, b))
+    pair, count, where = runs[0]
+    assert dict(zip(pair.tolist(), count.tolist())) == total and where.tolist() == pair.tolist()
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u v w"), (None, "p q r s t u v x"), (3, "zz")]
     assert run(spark, rows) == brute(rows)
