@@ -9,12 +9,15 @@ rates stay as near to 1 as that allows. The objective is
     1/2 sum_k ((total_k - target_k) / N)^2 + ridge/2 sum_i n_i/N (rate_i - 1)^2
 
 with N all tokens. In the metric weighted by n_i the gradient for a document is
-p_i . e + ridge (rate_i - 1), where e are the domains' relative errors. So it
-depends on the document by its posterior only, and documents of equal posteriors
-(rounded to 1/``GRID``, as the model's output) keep equal rates: an iteration is one
-distributed aggregation over the table of posteriors and their tokens, and only the
-few totals reach the driver. Iterations are accelerated (Nesterov) and end when
-totals move by less than ``TOLERANCE`` of N.
+p_i . e + ridge (rate_i - 1), where e are the domains' relative errors, so a projected
+gradient step of length 1 / ridge takes any rate to max(0, 1 - p_i . e / ridge). A plain
+step of that length overshoots; each iteration therefore takes it with errors that are
+carried on by the curvature of the documents with a positive rate (a matrix of the size
+of the domains), halved back while the fixed point is missed by more than before. Every
+document has a rate of its own, from its unrounded posterior. An iteration is one
+distributed aggregation over the table of posteriors and tokens; only its few sums reach
+the driver, and only the last errors are needed to give every document its rate. Some
+ten iterations end where totals are within ``TOLERANCE`` of N of the fixed point.
 
 Features of a text, all of them from the whole text: which words occur, and which
 beginnings of four bytes, hashed to 2**``BITS`` places, and eight measures of form
@@ -27,7 +30,8 @@ several, the lowest quality and the highest toxic count. Without any label every
 document is ``good``. Null or empty text: 0 tokens, its posterior is that of the
 features of an empty text, and it has the rate of that posterior. ``copies`` rounds
 the rate with the fraction of a hash of id and text, so equal rows round alike.
-Rows repeat as they come; an empty table gives no rows; other columns pass through.
+Rows repeat as they come; an empty table gives no rows; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,10 +42,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import column, lean, written
+from .common import added, column, lean, text_of, whole, written
 
 DOMAINS = ("good", "poor", "toxic")
 LABELLED = 6000
@@ -49,10 +52,11 @@ BITS = 16
 FORMS = 8
 #: The value of a feature that occurs.
 PRESENT = np.float32(0.3)
-GRID = 256
 RIDGE = 0.002
 TOLERANCE = 1e-6
-ROUNDS = 200
+ROUNDS = 50
+#: Gradient steps of the classifier at least.
+STEPS = 1500
 U64 = np.uint64
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -99,7 +103,7 @@ class Classifier:
         self.w = np.zeros(((1 << BITS) + FORMS, len(DOMAINS)), np.float32)
         self.scale = np.ones(FORMS, np.float32)
 
-    def fit(self, places: list[np.ndarray], forms: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.1, decay: float = 3e-4) -> None:
+    def fit(self, places: list[np.ndarray], forms: np.ndarray, y: np.ndarray, epochs: int = 10, least: int = STEPS, rate: float = 0.1, decay: float = 3e-4) -> None:
         """AdaGrad on mini-batches; only features of 5 or more documents are learned."""
         if not len(y):
             self.w[-1, 0] = 20.0
@@ -109,7 +113,7 @@ class Classifier:
         rng, square = np.random.default_rng(5), np.full_like(self.w, 1e-4)
         rows = [np.concatenate([p[df[p] > 4], (1 << BITS) + np.arange(FORMS)]) for p in places]
         values = [np.concatenate([np.full(len(r) - FORMS, PRESENT, np.float32), f * self.scale]).astype(np.float32) for r, f in zip(rows, forms)]
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least * 32 // len(y)))):
             order = rng.permutation(len(y))
             for s in range(0, len(y), 32):
                 b = order[s : s + 32]
@@ -128,19 +132,14 @@ class Classifier:
                 self.w[uniq] -= rate * g / np.sqrt(square[uniq])
 
     def posteriors(self, places: list[np.ndarray], forms: np.ndarray) -> np.ndarray:
-        """Rounded to 1/GRID, each row summing to 1."""
-        z = forms.astype(np.float32) * self.scale @ self.w[1 << BITS :]
+        """Each row sums to 1; equal texts have equal ones, whatever else is in a batch."""
+        z = (forms.astype(np.float32) * self.scale)[:, :, None] * self.w[None, 1 << BITS :]
+        z = z.sum(1, dtype=np.float64)
         for i, p in enumerate(places):
             if len(p):
-                z[i] += self.w[p].sum(0) * PRESENT
+                z[i] += self.w[p].sum(0, dtype=np.float64) * PRESENT
         p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
-        p = p / p.sum(1, keepdims=True) if len(z) else p
-        part = np.floor(p * GRID)
-        short = (GRID - part.sum(1)).astype(int)
-        order = np.argsort(part - p * GRID, 1, kind="stable")
-        for k in range(len(DOMAINS)):
-            part[np.arange(len(p)), order[:, k]] += short > k
-        return (part / GRID).astype(np.float64)
+        return p / p.sum(1, keepdims=True) if len(z) else p
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Classifier:
@@ -162,80 +161,70 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Classifie
 
 
 def membership(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with __tokens (words between white space) and __p (the posterior in units of 1/GRID)."""
+    """doc (the whole row), n_tokens (words between white space) and p (the posterior, by domain)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, forms, n = features(*tv.buffers(column(b, "text")))
-            p = np.round(shared.value.posteriors(places, forms) * GRID).astype(np.int32) if b.num_rows else np.zeros((0, len(DOMAINS)), np.int32)
-            yield pa.record_batch([*b.columns, pa.array(n.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.int32()))], [*b.schema.names, "__tokens", "__p"])
-
-    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields + T.StructType.fromDDL("__tokens long, __p array<int>").fields))
-
-
-def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rate, point at which the next gradient is taken) for posteriors p, by the errors of all iterations so far."""
-    eta = 1 / (1 + ridge)
-    rate = ahead = np.ones(len(p))
-    for error, momentum in steps:
-        after = np.maximum(0, ahead - eta * (p @ error + ridge * (ahead - 1)))
-        ahead = after + momentum * (after - rate)
-        rate = after
-    return rate, ahead
-
-
-def fit(cells: DataFrame, shares: dict[str, float], relative: bool = False, ridge: float = RIDGE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, np.ndarray]:
-    """(iterations, totals, targets) for rows (__p, n): posteriors and their tokens. shares: targets as parts of
-    all tokens; relative: of what the domain has at rate 1."""
-
-    def partial(steps: list) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, len(DOMAINS)))
-            for b in batches:
-                if b.num_rows:
-                    p = np.array(column(b, "__p").to_pylist(), np.float64) / GRID
-                    n = column(b, "n").to_numpy(zero_copy_only=False).astype(np.float64)
-                    for k, rate in enumerate(replay(p, steps, ridge)):
-                        total[k] += (rate * n) @ p
-            yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["t"])
-
-        return run
-
-    def totals(steps: list) -> np.ndarray:
-        got = cells.mapInArrow(partial(steps), "t array<double>").toArrow()["t"].to_pylist()
-        return np.sort(np.array(got).reshape(-1, 2, len(DOMAINS)), axis=0).sum(0)
-
-    now = totals([])
-    every = float(now[0].sum())
-    target = np.array([shares[d] for d in DOMAINS]) * (now[0] if relative else every)
+            places, forms, n = features(*tv.buffers(text_of(b)))
+            p = shared.value.posteriors(places, forms)
+            offs = np.arange(0, p.size + 1, len(DOMAINS), dtype=np.int32) if b.num_rows else np.zeros(1, np.int32)
+            yield pa.record_batch([b.column(0), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(offs, p.ravel())], ["doc", "n_tokens", "p"])
+
+    return whole(docs).mapInArrow(lean(run), added(docs, "n_tokens long, p array<double>"))
+
+
+def rate(errors: np.ndarray, ridge: float) -> F.Column:
+    """What a projected-gradient step of length 1 / ridge makes of a rate."""
+    push = sum((F.col("p")[k] * F.lit(float(e)) for k, e in enumerate(errors)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - push / F.lit(ridge))
+
+
+def fit(members: DataFrame, shares: dict[str, float], relative: bool = False, ridge: float = RIDGE, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(errors, totals, targets) for rows (p, n_tokens). shares: targets as parts of all tokens; relative: of what the
+    domain has at rate 1."""
+    k = len(DOMAINS)
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each domain at the rates of these errors, curvature of the documents with a positive rate)."""
+        x, n, p = F.col("x"), F.col("n_tokens").cast("double"), [F.col("p")[i] for i in range(k)]
+        free = F.when(x > 0, n).otherwise(0.0)
+        got = members.withColumn("x", rate(errors, ridge)).agg(*(F.coalesce(F.sum(x * n * q), F.lit(0.0)) for q in p), *(F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in upper)).first()
+        curve = np.zeros((k, k))
+        for (i, j), v in zip(upper, got[k:]):
+            curve[i, j] = curve[j, i] = v
+        return np.array(got[:k], float), curve
+
+    errors = np.zeros(k)
+    total, curve = sums(errors)
+    every = float(total.sum())
+    target = np.array([shares[d] for d in DOMAINS]) * (total if relative else every)
     if not every:
-        return [], now[0], target
-    steps: list[tuple[np.ndarray, float]] = []
-    t = 1.0
+        return errors, total, target
+    miss = (total - target) / every - errors
     for _ in range(rounds):
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append(((now[1] - target) / every, (t - 1) / after))
-        last, now, t = now, totals(steps), after
-        if np.abs(now[0] - last[0]).max() < tolerance * every and np.abs(now[1] - now[0]).max() < tolerance * every:
+        if np.abs(miss).max() < tolerance:
             break
-    return steps, now[0], target
+        # The errors at which the step would reproduce them, as far as the curvature holds.
+        step = np.linalg.solve(np.eye(k) + curve / every / ridge, miss)
+        while True:
+            after, bend = sums(errors + step)
+            left = (after - target) / every - errors - step
+            if np.abs(left).sum() < np.abs(miss).sum() or np.abs(step).max() < tolerance * ridge:
+                break
+            step = step / 2
+        errors, total, curve, miss = errors + step, after, bend, left
+    return errors, total, target
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], keep: list[str], relative: bool = False, ridge: float = RIDGE) -> DataFrame:
-    """The columns keep of docs, with __tokens, __p, __rate and __copies."""
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    members = written(membership(docs, train(docs, labels)).select(*keep, "__tokens", "__p", chance.alias("__chance")), "membership")
-    cells = written(members.groupBy("__p").agg(F.sum("__tokens").alias("n")), "cells")
-    steps, _, _ = fit(cells, shares, relative, ridge)
-
-    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.array(column(b, "__p").to_pylist(), np.float64).reshape(-1, len(DOMAINS)) / GRID
-            yield pa.record_batch([*b.columns, pa.array(replay(p, steps, ridge)[0])], [*b.schema.names, "__rate"])
-
-    rated = members.mapInArrow(rates, T.StructType(members.schema.fields + T.StructType.fromDDL("__rate double").fields))
-    return rated.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).drop("__chance")
+    """doc (the columns keep of docs), n_tokens, p, rate and copies."""
+    chance = F.pmod(F.xxhash64("doc.doc_id", "doc.text"), F.lit(1 << 20)) / float(1 << 20)
+    members = written(membership(docs, train(docs, labels)).select(F.struct(*(F.col("doc")[c].alias(c) for c in keep)).alias("doc"), "n_tokens", "p", chance.alias("chance")), "membership")
+    errors, _, _ = fit(members.select("p", "n_tokens"), shares, relative, ridge)
+    x = rate(errors, ridge)
+    return members.select("doc", "n_tokens", "p", x.alias("rate"), F.floor(x + F.col("chance")).cast("int").alias("copies"))
 
 
 #: Production targets of op10, as parts of all tokens: all good ones and a little more, half of the poor, nearly nothing toxic.
@@ -245,4 +234,4 @@ SHARES = {"good": 0.92, "poor": 0.06, "toxic": 0.005}
 def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """One row for each document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies."""
     out = with_rates(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, shares or SHARES, ["doc_id"])
-    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), *((F.col("__p")[k] / float(GRID)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    return out.select("doc.doc_id", "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", "copies")

@@ -51,7 +51,7 @@ def test_rates_match_brute_force_and_targets(spark):
     assert np.mean([p[k].argmax() == docs[k][2] for k in held]) > 0.9
     rate = np.array([r.rate for r in got])
     target = np.array([mx.SHARES[d] for d in mx.DOMAINS]) * n.sum()
-    assert np.allclose(rate, slow_rates(n, p, target, mx.RIDGE), atol=2e-3)
+    assert np.allclose(rate, slow_rates(n, p, target, mx.RIDGE), atol=1e-3) and len(set(np.round(rate, 6))) > 50
     assert np.abs((rate * n) @ p - target).max() < 0.02 * n.sum() and rate.min() >= 0
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
 
@@ -70,7 +70,7 @@ def test_edge_rows(spark):
 def test_no_labels_and_no_rows(spark):
     d, lab = tables(spark, corpus(20)[0], [])
     got = mx.mixed(d, lab).collect()
-    assert {(r.p_good, r.p_poor, r.p_toxic) for r in got} == {(1.0, 0.0, 0.0)}
+    assert all(r.p_good > 0.999 for r in got)
     assert mx.mixed(d.where("false"), lab).collect() == []
 
 
@@ -80,7 +80,9 @@ def test_posteriors_sum_to_one():
     m.w = rng.standard_normal(m.w.shape).astype(np.float32)
     places, forms, _ = mx.features(*tv.buffers(pa.array(["a b c", "", "x" * 500, "é! 12"])))
     p = m.posteriors(places, forms)
-    assert (p.sum(1) == 1).all() and (p >= 0).all() and (p * mx.GRID == np.round(p * mx.GRID)).all()
+    assert np.allclose(p.sum(1), 1, atol=1e-12) and (p >= 0).all()
+    alone = [m.posteriors([x], forms[k : k + 1])[0] for k, x in enumerate(places)]
+    assert (np.array(alone) == p).all()
 
 
 @pytest.mark.parametrize("text, tokens", [("", 0), (" a  b\tc ", 3)])
