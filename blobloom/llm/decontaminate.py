@@ -1,18 +1,21 @@
 """Benchmark decontamination with a document-partitioned positional inverted index.
 
-``index`` stores, for every training document, the postings of the test
+``index`` holds, for every training document, the postings of the test
 vocabulary: term and word position. ``search`` turns the postings of a batch of
 documents into term lists, starts each test window from its rarest term there,
 and intersects the offset-adjusted lists of its other terms, rarest first; what
-remains are exact phrase matches. ``proximity`` finds all terms of a query within
-a span of words instead.
+remains are exact phrase matches. Only windows whose anchor (the term that the fewest
+windows have) occurs in the batch are looked at, so the work follows the batch, not
+the test set. ``proximity`` finds all terms of a query within a span of words instead.
 
 Words are runs of digits, letters a-z (A-Z folded) and characters beyond ASCII;
 they are compared by 64-bit hashes. A window is 13 consecutive words of an item;
 an item of fewer words, but not none, is one window. The training side is never
-shuffled. The test side is sent to all tasks, in blocks of at most
-``BLOCK_BYTES`` of item text, one pass over the postings for each block, so the
-size of a broadcast doesn't depend on the benchmark's.
+shuffled. The test side is sent to all tasks in blocks of at most ``BLOCK_BYTES`` of
+item text, so the size of a broadcast doesn't depend on the benchmark's. One block is
+searched as the index is made. For several, the positional index of all terms is
+written once (texts are tokenised once), each block reads it, and the spans found are
+joined back by row.
 
 Null or empty texts have no words: such a document has n_words 0 and no hits, such
 an item no window. Items with equal ids count once; a null id is written as an
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import column, lean, list_positions, slices
+from .common import added, column, lean, list_positions, slices, text_of, whole, written
 
 WINDOW = 13
 #: UTF-8 bytes of item text that one pass searches for.
-BLOCK_BYTES = 64 << 20
-_ADDED = "__n_words long, __terms binary, __at binary, __hits binary, __items array<string>"
+BLOCK_BYTES = 8 << 20
+_POSTINGS = "n_words long, terms binary, at binary"
 
 
 class Windows:
@@ -60,37 +63,43 @@ class Windows:
         self.terms = np.full((len(found), max(1, int(self.lengths.max(initial=0)))), -1, np.int32)
         for k, w in enumerate(found):
             self.terms[k, : len(w) // 4] = np.frombuffer(w, np.int32)
+        # Windows by anchor: that of their terms which the fewest windows have.
+        use = np.bincount(self.terms[self.terms >= 0], minlength=len(self.vocabulary))
+        cost = np.where(self.terms >= 0, use[self.terms], np.iinfo(np.int64).max)
+        anchor = self.terms[np.arange(len(found)), cost.argmin(1)] if found else np.zeros(0, np.int32)
+        self.by_anchor = np.argsort(anchor, kind="stable")
+        self.anchor_first = np.searchsorted(anchor[self.by_anchor], np.arange(len(self.vocabulary) + 1))
         self.items = sorted({i for o in owners for i in o})
         at = {i: k for k, i in enumerate(self.items)}
         self.owner_first = np.cumsum([0, *(len(o) for o in owners)])
         self.owners = np.array([at[i] for o in owners for i in sorted(o)], np.int64)
 
 
-def _index(vocabulary: np.ndarray) -> Callable:
-    seen = tv.lookup_filter(vocabulary)
+def _index(vocabulary: np.ndarray | None) -> Callable:
+    """Postings of the vocabulary; without one of all terms, as hashes."""
+    seen = tv.lookup_filter(vocabulary) if vocabulary is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            data, offs = tv.buffers(column(b, "text"))
+            data, offs = tv.buffers(text_of(b))
             counts, terms, places = [], [], []
             for i, j in tv.pieces(offs, 1_000_000):
                 h, first = tv.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], tv.ALNUM_WORDS)
-                t = tv.lookup(vocabulary, h, seen)
-                at = np.flatnonzero(t >= 0)
-                own = np.searchsorted(at, first)
+                if vocabulary is None:
+                    own, found = first, h
+                else:
+                    t = tv.lookup(vocabulary, h, seen)
+                    at = np.flatnonzero(t >= 0)
+                    own, found = np.searchsorted(at, first), t[at]
+                    places.append((at - np.repeat(first[:-1], np.diff(own))).astype(np.int32))
                 counts.append(np.stack([np.diff(first), np.diff(own)]))
-                terms.append(t[at])
-                places.append((at - np.repeat(first[:-1], np.diff(own))).astype(np.int32))
+                terms.append(found)
             n, k = np.concatenate(counts, 1)
             ends = np.cumsum(k)
-            have = set(b.schema.names)
-            cols = {name: c for name, c in zip(b.schema.names, b.columns)}
-            cols |= {"__n_words": pa.array(n), "__terms": slices(np.concatenate(terms), ends), "__at": slices(np.concatenate(places), ends)}
-            if "__hits" not in have:
-                cols |= {"__hits": pa.nulls(b.num_rows, pa.binary()), "__items": pa.nulls(b.num_rows, pa.list_(pa.string()))}
-            yield pa.record_batch(list(cols.values()), list(cols))
+            at = slices(np.concatenate(places), ends) if places else pa.nulls(b.num_rows, pa.binary())
+            yield pa.record_batch([*b.columns, pa.array(n), slices(np.concatenate(terms), ends), at], [*b.schema.names, "n_words", "terms", "at"])
 
     return run
 
@@ -104,54 +113,77 @@ def matches(w: Windows, tid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     order = at[np.argsort(tid[at], kind="stable")]
     df = np.bincount(tid[at], minlength=len(w.vocabulary))
     begin = np.cumsum(df) - df
-    cost = np.where(w.terms >= 0, df[w.terms], np.iinfo(np.int64).max)
+    here = np.flatnonzero(df)
+    live = w.by_anchor[list_positions(w.anchor_first[here], w.anchor_first[here + 1] - w.anchor_first[here])]
+    live = live[(np.where(w.terms[live] >= 0, df[w.terms[live]], 1) > 0).all(1)]
+    if not len(live):
+        return none, none
+    cost = np.where(w.terms[live] >= 0, df[w.terms[live]], np.iinfo(np.int64).max)
     rank = np.argsort(cost, axis=1, kind="stable")
     n = cost[np.arange(len(cost)), rank[:, 0]]
-    live = np.flatnonzero(n)
-    win = np.repeat(live, n[live])
-    start = order[list_positions(begin[w.terms[live, rank[live, 0]]], n[live])]
+    win = np.repeat(np.arange(len(live)), n)
+    start = order[list_positions(begin[w.terms[live, rank[:, 0]]], n)]
     text = np.searchsorted(first, start, "right") - 1
     start = start - rank[win, 0]
-    ok = (start >= first[text]) & (start + w.lengths[win] <= first[text + 1])
+    ok = (start >= first[text]) & (start + w.lengths[live[win]] <= first[text + 1])
     win, start = win[ok], start[ok]
     for k in range(1, w.terms.shape[1]):
-        live = w.lengths[win] > k
+        more = w.lengths[live[win]] > k
         o = rank[win, k]
-        ok = ~live | (tid[np.where(live, start + o, start)] == w.terms[win, o])
+        ok = ~more | (tid[np.where(more, start + o, start)] == w.terms[live[win], o])
         win, start = win[ok], start[ok]
-    return win, start
+    return live[win], start
 
 
-def _dense(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _dense(b: pa.RecordBatch, w: Windows, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The terms at all word positions of a batch, and where each text begins."""
-    n = column(b, "__n_words").to_numpy(zero_copy_only=False).astype(np.int64)
+    n = column(b, "n_words").to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
-    terms, offs = tv.buffers(column(b, "__terms"))
-    places, _ = tv.buffers(column(b, "__at"))
+    terms, offs = tv.buffers(column(b, "terms"))
+    if column(b, "at").null_count:
+        return tv.lookup(w.vocabulary, terms.view(np.uint64), seen), first
+    places, _ = tv.buffers(column(b, "at"))
     tid = np.full(int(first[-1]), -1, np.int32)
     tid[np.repeat(first[:-1], np.diff(offs) // 4) + places.view(np.int32)] = terms.view(np.int32)
     return tid, first
 
 
+def _found(w: Windows, b: pa.RecordBatch, seen: np.ndarray | None = None) -> Iterator[tuple[int, bytes, list[str]]]:
+    """(row, spans, items) of the rows of a batch in which windows occur."""
+    tid, first = _dense(b, w, seen)
+    win, start = matches(w, tid, first)
+    text = np.searchsorted(first, start, "right") - 1
+    o = np.argsort(text, kind="stable")
+    win, start, text = win[o], start[o], text[o]
+    for s, e in zip(*(np.searchsorted(text, np.unique(text), side).tolist() for side in ("left", "right"))):
+        i = int(text[s])
+        span = np.stack([start[s:e] - first[i], start[s:e] - first[i] + w.lengths[win[s:e]]], 1).astype(np.int32)
+        own = np.unique(w.owners[list_positions(w.owner_first[win[s:e]], np.diff(w.owner_first)[win[s:e]])])
+        yield i, span.tobytes(), [w.items[k] for k in own]
+
+
 def _search(w: Windows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            tid, first = _dense(b)
-            win, start = matches(w, tid, first)
-            text = np.searchsorted(first, start, "right") - 1
-            hits, items = column(b, "__hits").to_pylist(), column(b, "__items").to_pylist()
-            o = np.argsort(text, kind="stable")
-            win, start, text = win[o], start[o], text[o]
-            for s, e in zip(*(np.searchsorted(text, np.unique(text), side).tolist() for side in ("left", "right"))):
-                i = int(text[s])
-                span = np.stack([start[s:e] - first[i], start[s:e] - first[i] + w.lengths[win[s:e]]], 1).astype(np.int32)
-                hits[i] = (hits[i] or b"") + span.tobytes()
-                own = np.unique(w.owners[list_positions(w.owner_first[win[s:e]], np.diff(w.owner_first)[win[s:e]])])
-                items[i] = sorted({*(items[i] or ()), *(w.items[k] for k in own)})
-            cols = {name: c for name, c in zip(b.schema.names, b.columns)} | {"__hits": pa.array(hits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.record_batch(list(cols.values()), list(cols))
+            hits: list[bytes | None] = [None] * b.num_rows
+            items: list[list[str] | None] = [None] * b.num_rows
+            for i, spans, own in _found(w, b):
+                hits[i], items[i] = spans, own
+            keep = [c for c in b.schema.names if c not in ("terms", "at")]
+            yield pa.record_batch([*(column(b, c) for c in keep), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], [*keep, "hits", "items"])
+
+    return run
+
+
+def _search_stored(w: Windows) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = tv.lookup_filter(w.vocabulary)
+        for b in batches:
+            if b.num_rows and (found := list(_found(w, b, seen))):
+                i, hits, items = zip(*found)
+                yield pa.record_batch([column(b, "row").take(pa.array(i)), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["row", "hits", "items"])
 
     return run
 
@@ -166,55 +198,55 @@ def covered(spans: bytes | None) -> int:
     return int(np.maximum(0, top - np.maximum(x[:, 0], np.concatenate([[0], top[:-1]]))).sum())
 
 
-def _finish(keep: list[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = [covered(x) for x in column(b, "__hits").to_pylist()]
-            items = [x or [] for x in column(b, "__items").to_pylist()]
-            out = {c: column(b, c) for c in keep} | {"__n_words": column(b, "__n_words"), "__n_hit": pa.array(hit, pa.int64()), "__n_items": pa.array([len(x) for x in items], pa.int64()), "__sha": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())}
-            yield pa.record_batch(list(out.values()), list(out))
-
-    return run
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hit = [covered(x) for x in column(b, "hits").to_pylist()]
+        items = [sorted(x or ()) for x in column(b, "items").to_pylist()]
+        yield pa.record_batch([column(b, "doc"), column(b, "n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())], ["doc", "n_words", "n_hit", "n_items", "sha"])
 
 
-def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about limit bytes, one after another."""
+def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list[tuple[object, str | None]]]]:
+    """(number of blocks of about limit bytes, the items of each)."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // limit) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+    return n, lambda k: [(r[0], r[1]) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """docs with the postings of the vocabulary (columns __n_words, __terms, __at); it can be stored and searched again."""
-    fields = [f for f in docs.schema.fields if f.name not in ("__n_words", "__terms", "__at", "__hits", "__items")]
-    return docs.mapInArrow(lean(_index(vocabulary)), T.StructType(fields + T.StructType.fromDDL(_ADDED).fields))
+def index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """doc (the whole row), n_words, terms and at: postings of the vocabulary; without one, hashes of all words in order."""
+    return whole(docs).mapInArrow(lean(_index(vocabulary)), added(docs, _POSTINGS))
 
 
 def search(postings: DataFrame, w: Windows) -> DataFrame:
-    """The postings with the spans and items of the windows that occur added to __hits and __items."""
-    return postings.mapInArrow(lean(_search(w)), postings.schema)
+    """The postings' rows with the spans (hits) and items of the windows that occur."""
+    kept = [f for f in postings.schema.fields if f.name not in ("terms", "at")]
+    return postings.mapInArrow(lean(_search(w)), T.StructType(kept + T.StructType.fromDDL("hits binary, items array<string>").fields))
 
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n_words, __n_hit, __n_items and __sha (of the sorted items)."""
-    out, drop_text = docs, "text" not in docs.columns
-    assert not drop_text, "docs need a text column"
-    for part in blocks(items, limit):
-        w = Windows(part, width)
-        out = search(index(out, w.vocabulary), w)
-    keep = docs.columns
-    added = T.StructType.fromDDL("__n_words long, __n_hit long, __n_items long, __sha string").fields
-    return out.mapInArrow(lean(_finish(keep)), T.StructType(docs.schema.fields + added))
+    """doc (the whole row), n_words, n_hit, n_items and sha (of the sorted items)."""
+    n, block = blocks(items, limit)
+    if n == 1:
+        w = Windows(block(0), width)
+        out = search(index(docs, w.vocabulary), w)
+    else:
+        stored = written(index(docs).withColumn("row", F.monotonically_increasing_id()), "positions")
+        found = None
+        for k in range(n):
+            some = written(stored.select("row", "n_words", "terms", "at").mapInArrow(lean(_search_stored(Windows(block(k), width))), "row long, hits binary, items array<string>"), "hits")
+            found = some if found is None else found.unionByName(some)
+        # Spans and items of a row from all blocks; hits are joined in any order, they are intervals.
+        each = found.groupBy("row").agg(F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        out = stored.select("row", "doc", "n_words").join(each, "row", "left").select("doc", "n_words", "hits", "items")
+    return out.mapInArrow(lean(_finish), added(docs, "n_words long, n_hit long, n_items long, sha string"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = scan(docs.select("doc_id", F.col("text").cast("string").alias("text")), items, width)
-    hit = (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__n_items").alias("n_items"), F.col("__sha").alias("items_sha256"), hit.alias("contaminated"))
+    hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return found.select("doc.doc_id", "n_words", "n_hit", "n_items", F.col("sha").alias("items_sha256"), hit.alias("contaminated"))
 
 
 def proximity(docs: DataFrame, query: str, span: int) -> DataFrame:
@@ -224,7 +256,7 @@ def proximity(docs: DataFrame, query: str, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tid, first = _dense(b)
+            tid, first = _dense(b, w)
             lists = sorted((np.flatnonzero(tid == t) for t in range(len(w.vocabulary))), key=len)
             out: list[tuple[int, int, int]] = []
             for p in lists[0].tolist() if lists else ():
@@ -241,6 +273,8 @@ def proximity(docs: DataFrame, query: str, span: int) -> DataFrame:
                                 best = (s, e)
                     if best:
                         out.append((i, best[0] - int(first[i]), best[1] - int(first[i])))
-            yield pa.record_batch([column(b, "doc_id").take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "start", "end"])
+            ids = column(b, "doc")
+            ids = ids.field(ids.type.get_field_index("doc_id"))
+            yield pa.record_batch([ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "start", "end"])
 
     return index(docs.select("doc_id", "text"), w.vocabulary).mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("start long, end long").fields]))
