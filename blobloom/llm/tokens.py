@@ -118,6 +118,19 @@ def _short(path: str) -> Callable:
     return run
 
 
+def _cut(chunk: int, overlap: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of each text, in one pass over it, a few at a time."""
+        for b in batches:
+            for key, text in zip(column(b, "key").to_pylist(), column(b, "text").to_pylist()):
+                m = max(1, -(-(len(text) - overlap) // chunk))
+                for s in range(0, m, 64):
+                    some = range(s, min(m, s + 64))
+                    yield pa.record_batch([pa.array([key] * len(some)), pa.array(some, pa.int32()), pa.array([m] * len(some), pa.int32()), pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in some])], ["key", "k", "m", "piece"])
+
+    return run
+
+
 def _chunks(path: str, overlap: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -151,10 +164,8 @@ def huge_counts(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     """(key, n_tokens) of distinct (key, text), by overlapping chunks."""
     done, rest = None, texts
     while True:
-        m = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(chunk))).cast("int")
         # A chunk's row holds its own characters only; rows move by chunk, so a huge text spreads over tasks.
-        rows = rest.select("key", "text", m.alias("m")).select("key", "text", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
-        rows = rows.select("key", "k", "m", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("piece"))
+        rows = rest.select("key", "text").mapInArrow(_cut(chunk, overlap), "key string, k int, m int, piece string")
         spread = rows.repartition(partitions(texts.sparkSession), "key", "k")
         made = spread.mapInArrow(_chunks(path, overlap), "key string, k int, head binary, head_n binary, tail binary, tail_n binary, total long")
         found = written(made.groupBy("key").applyInArrow(_splice(chunk), "key string, n_tokens long"), "counts")
