@@ -86,8 +86,12 @@ class Prefix:
         """Whether length code points from a on equal those of other from b on."""
         if a + length > self.n or b + length > other.n:
             return False
-        one = lambda p, i: p.spans(np.array([i]), np.array([i + length]))[0]
-        return bool(one(self, a) == one(other, b))
+        for (base, prime), s, t in zip(((B1, P1), (B2, P2)), self.sums, other.sums):
+            p, q = int(prime), powers(base, prime, max(a, b) + 1)
+            # Each difference is multiplied up to the other's place.
+            if ((int(s[a + length]) - int(s[a])) * int(q[b]) - (int(t[b + length]) - int(t[b])) * int(q[a])) % p:
+                return False
+        return True
 
     def extension(self, a: int, other: Prefix, b: int) -> int:
         """The length of the longest common extension of a and of other's b."""
@@ -103,10 +107,9 @@ def inverse(base: int, prime: np.uint64, n: int) -> np.ndarray:
     return powers(pow(base, -1, int(prime)), prime, n)
 
 
-def sketch(x: np.ndarray) -> tuple[np.ndarray, int]:
+def sketch(p: Prefix) -> tuple[np.ndarray, int]:
     """(the least distinct span hashes, hash of the whole text)."""
-    p = Prefix(x)
-    n = len(x)
+    n = p.n
     if not n:
         return np.zeros(0, np.uint64), 0
     start = np.arange(max(1, n - SPAN + 1))
@@ -123,9 +126,10 @@ def sketch(x: np.ndarray) -> tuple[np.ndarray, int]:
 Print = tuple[str, np.ndarray]
 
 
-def fingerprint(x: np.ndarray) -> Print:
-    least, whole = sketch(x)
-    return f"{len(x):x}:{whole:016x}:" + least.astype(">u8").tobytes().hex(), least
+def fingerprint(x: np.ndarray | Prefix) -> Print:
+    p = x if isinstance(x, Prefix) else Prefix(x)
+    least, whole = sketch(p)
+    return f"{p.n:x}:{whole:016x}:" + least.astype(">u8").tobytes().hex(), least
 
 
 def likeness(a: Print, b: Print) -> float:
@@ -146,25 +150,28 @@ def edit(x: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition, ghosts (rows of other ranges) last within theirs: each with the one after it."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     last = None
     for b in batches:
         rows: list[tuple] = []
         for part, ghost, d, text in zip(*(column(b, c).to_pylist() for c in ("part", "ghost", "doc_id", "text"))):
             x = points(text)
-            own = fingerprint(x)
+            prefix = Prefix(x)
+            own = fingerprint(prefix)
             if last is not None and last[0] == part and not last[4]:
                 changed = edit(last[2], x)
-                new = fingerprint(changed)
-                rows.append((last[1], len(last[2]), hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest(), last[3][0], new[0], likeness(last[3], new), likeness(last[3], own)))
-            last = (part, d, x, own, ghost)
-        cols = list(zip(*rows)) or [()] * 7
+                after = Prefix(changed)
+                new = fingerprint(after)
+                rows.append((last[1], len(last[2]), hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest(), last[3][0], new[0], likeness(last[3], new), likeness(last[3], own), last[5].extension(0, after, 0), last[5].extension(0, prefix, 0)))
+            last = (part, d, x, own, ghost, prefix)
+        cols = list(zip(*rows)) or [()] * 9
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
 def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    same_edited, same_next: from the start, the code points in common with the edited text and with the next document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = ranges or max(1, partitions(spark))
@@ -181,16 +188,17 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         return rows.mapInArrow(_pairs_empty, SCHEMA)
     before = {p: heads[i - 1][0] for i, (p, _) in enumerate(heads)}
     head = dict(heads)
-    target = F.lit(None).cast("int")
-    for p in head:
-        target = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(head[p])), F.lit(before[p])).otherwise(target)
+    # One list of the ranges' first ids and one of the ranges before them; a range without rows isn't asked for.
+    kind = "array<long>"
+    of = lambda x: F.get(F.lit([x.get(p) for p in range(len(cuts) + 1)]).cast(kind) if any(v is not None for v in x.values()) else F.array_repeat(F.lit(None).cast("long"), len(cuts) + 1), F.col("part"))
+    target = F.when(F.col("doc_id").eqNullSafe(of(head)), of(before).cast("int"))
     both = placed.withColumn("to", F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(target.alias("part"), F.lit(True).alias("ghost"))), lambda s: s["part"].isNotNull()))
     sent = both.select(F.explode("to").alias("to"), "doc_id", "text").select("to.part", "to.ghost", "doc_id", "text")
     moved = sent.repartitionById(len(cuts) + 1, "part")
     return moved.sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text").mapInArrow(_pairs, SCHEMA)
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
 
 
 def _pairs_empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
