@@ -1,4 +1,4 @@
-"""Ordered and weighted text rules, as data, with a rendering for Spark and one for SQL.
+"""Ordered and weighted text rules, as data, compiled for Arrow functions and rendered for SQL.
 
 A condition is a substring, or a tuple: ("any", c, ...), ("all", c, ...), ("not", c),
 ("more", a, b) for more occurrences of a than of b, ("starts", s), ("trim", s) for the
@@ -7,9 +7,8 @@ trimmed text starting with s, ("lower", c) for the condition on the lower-cased
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
-from operator import add, and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ MARKUP: list[tuple[str, Condition]] = [
     ("LaTeX", ("any", "\\section{", "\\usepackage", "\\begin{document}", "\\documentclass")),
     ("RTF", ("starts", "{\\rtf")),
     ("Org", ("any", "#+BEGIN_SRC", "#+TITLE", ("trim", "* "))),
-    ("reStructuredText", ("rst",)),
+    ("reST", ("rst",)),
     ("AsciiDoc", ("any", "[source,", ":toc:", "\n== ", ("trim", "= "))),
     ("Markdown", ("points", 3, [(3, "```"), (2, "## "), (2, "# "), (2, ("all", "[", "](")), (1, ("any", "__", "**")), (1, ("any", "* ", "- "))])),
 ]
@@ -78,74 +77,69 @@ SPACE = "\t\n\v\f\r \x85\xa0                　"
 RST_LINE = "=-~^"
 
 
-def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
-
-
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     """fn of a value which is evaluated once, however often fn names it (projections alone would be merged)."""
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def over(text: Column, fn: Callable[[SparkRules], Column]) -> Column:
-    """fn of the rules over a text whose three forms are evaluated once."""
-    forms = bind(text, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), trim(t).alias("trimmed")))
-    return bind(forms, lambda v: fn(SparkRules(v["t"], v["low"], v["trimmed"])))
-
-
-class SparkRules:
-    """Renders conditions over a text, its lower case and its trimmed form."""
-
-    def __init__(self, text: Column, low: Column | None = None, trimmed: Column | None = None):
-        self.text = text
-        self.low = F.lower(text) if low is None else low
-        self.trimmed = trim(text) if trimmed is None else trimmed
-
-    def condition(self, c: Condition, text: Column | None = None) -> Column:
-        t = self.text if text is None else text
-        if isinstance(c, str):
-            return F.contains(t, F.lit(c))
-        kind, *rest = c
-        if kind in ("any", "all"):
-            return reduce(or_ if kind == "any" else and_, (self.condition(x, text) for x in rest))
-        if kind == "not":
-            return ~self.condition(rest[0], text)
-        if kind == "lower":
-            return self.condition(rest[0], self.low)
-        if kind == "starts":
-            return F.startswith(t, F.lit(rest[0]))
-        if kind == "trim":
-            return F.startswith(self.trimmed, F.lit(rest[0]))
-        if kind == "more":
-            n = lambda x: (F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))) / len(x)
-            return n(rest[0]) > n(rest[1])
-        if kind == "csv":
-            line = lambda k: F.split_part(t, F.lit("\n"), F.lit(k))
-            commas = lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
-            return F.contains(t, F.lit("\n")) & (commas(line(1)) > 0) & (commas(line(1)) == commas(line(2))) & ~F.contains(line(1), F.lit("{"))
-        if kind == "rst":
-            under = "|".join(f"\\{c}{{4,}}" for c in RST_LINE)
-            return F.contains(t, F.lit(".. ")) & t.rlike(f"[^\n]\n[{SPACE.replace(chr(10), '')}]*(?:{under})[{SPACE.replace(chr(10), '')}]*(?:\n|\\z)")
-        if kind == "points":
-            return self.points(rest[1]) >= rest[0]
-        raise ValueError(kind)
-
-    def points(self, rules: list[tuple[int, Condition]], text: Column | None = None) -> Column:
-        return reduce(add, (F.when(self.condition(c, text), w).otherwise(0) for w, c in rules))
-
-    def first(self, rules: list[tuple[str, Condition]]) -> Column:
-        out = F.lit("None")
-        for name, c in reversed(rules):
-            out = F.when(self.condition(c), name).otherwise(out)
-        return out
-
-
-def best(scores: dict[str, Column], least: int) -> Column:
-    """The earliest name of the highest score, Unknown below least. Each score is evaluated once."""
-    names = list(scores)
-    coded = [s * 100 + (99 - i) for i, s in enumerate(scores.values())]
-    name = lambda v: F.when(v >= least * 100, F.element_at(F.array(*map(F.lit, names)), (F.lit(100) - v % 100).cast("int"))).otherwise("Unknown")
-    return bind(F.greatest(*coded), name)
+Test = Callable[[str, str, str], bool]
+_RST = re.compile(rf"[^\n]\n[{SPACE.replace(chr(10), '')}]*(?:{'|'.join(f'\\{c}{{4,}}' for c in RST_LINE)})[{SPACE.replace(chr(10), '')}]*(?:\n|\Z)")
+
+
+def compiled(c: Condition, form: int = 0) -> Test:
+    """A condition as a function of a text, its lower case and its trimmed form. Hundreds of them read a text at the speed of
+    substring search; as Catalyst expressions over one text they would be one interpreted lambda."""
+    if isinstance(c, str):
+        return lambda *t: c in t[form]
+    kind, *rest = c
+    if kind in ("any", "all"):
+        parts = [compiled(x, form) for x in rest]
+        return (lambda *t: any(p(*t) for p in parts)) if kind == "any" else (lambda *t: all(p(*t) for p in parts))
+    if kind == "not":
+        one = compiled(rest[0], form)
+        return lambda *t: not one(*t)
+    if kind == "lower":
+        return compiled(rest[0], 1)
+    if kind == "starts":
+        return lambda *t: t[form].startswith(rest[0])
+    if kind == "trim":
+        return lambda *t: t[2].startswith(rest[0])
+    if kind == "more":
+        return lambda *t: t[form].count(rest[0]) > t[form].count(rest[1])
+    if kind == "csv":
+        return lambda *t: _csv(t[form])
+    if kind == "rst":
+        return lambda *t: ".. " in t[form] and _RST.search(t[form]) is not None
+    if kind == "points":
+        total = points(rest[1], form)
+        return lambda *t: total(*t) >= rest[0]
+    raise ValueError(kind)
+
+
+def _csv(text: str) -> bool:
+    lines = text.split("\n", 2)
+    return len(lines) > 1 and lines[0].count(",") == lines[1].count(",") > 0 and "{" not in lines[0]
+
+
+def points(rules: list[tuple[int, Condition]], form: int = 0) -> Callable[[str, str, str], int]:
+    parts = [(w, compiled(c, form)) for w, c in rules]
+    return lambda *t: sum(w for w, p in parts if p(*t))
+
+
+def first(rules: list[tuple[str, Condition]]) -> Callable[[str, str, str], str]:
+    parts = [(name, compiled(c)) for name, c in rules]
+    return lambda *t: next((name for name, p in parts if p(*t)), "None")
+
+
+def best(scores: dict[str, int], least: int) -> str:
+    """The earliest name of the highest score, Unknown below least."""
+    name = max(scores, key=scores.__getitem__)
+    return name if scores[name] >= least else "Unknown"
+
+
+def forms(text: str) -> tuple[str, str, str]:
+    """A text, its lower case and its trimmed form."""
+    return text, text.lower(), text.strip(SPACE)
 
 
 def sql_text(s: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,10 +17,12 @@ NAMES = {codecs.STORE: "store", codecs.DEFLATE: "deflate", codecs.RANS_TOKENS: "
 OWN_VOCABULARY = {"Go": "go", "Python": "python", "JavaScript": "javascript"}
 
 
-def vocabulary_name(language: Column) -> Column:
+def vocabulary_name(language: Column, have: Iterable[str] = tuple(OWN_VOCABULARY.values())) -> Column:
+    """The vocabulary that blobs of a language are encoded with, of those that there are."""
     out = F.lit("text")
     for name, v in OWN_VOCABULARY.items():
-        out = F.when(language == name, v).otherwise(out)
+        if v in have:
+            out = F.when(language == name, v).otherwise(out)
     return out
 
 
@@ -59,13 +61,13 @@ def compress(df: DataFrame, content: str, keep: list[str], vocabularies: dict[st
     """keep, with type, vocabulary, method, size, packed, packed_size and crc of each blob.
 
     method forces one (with the text vocabulary). A blob is encoded by its own candidates only. Vocabularies must cover
-    every byte. Null content counts as empty."""
+    every byte; vocabulary names the one that is used. Null content counts as empty."""
     for name, tokens in vocabularies.items():
         if {bytes([b]) for b in range(256)} - set(tokens):
             raise ValueError(f"vocabulary {name} doesn't cover every byte")
     blob = F.coalesce(F.col(content), F.lit(b""))
     typed = profile.profile(df.select(*keep, blob.alias("__blob")), F.col("__blob"), [*keep, "__blob"])
-    known = F.when(F.lit(method is None), vocabulary_name(F.col("language"))).otherwise(F.lit("text"))
+    known = F.when(F.lit(method is None), vocabulary_name(F.col("language"), vocabularies)).otherwise(F.lit("text"))
     tried = F.array(F.lit(method)) if method is not None else candidates(F.octet_length("__blob"), F.col("type"), archive)
     rows = typed.select(*keep, "__blob", "type", known.alias("vocabulary"), tried.alias("tried"))
     kept = rows.schema.fields[: len(keep)]

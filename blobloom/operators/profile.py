@@ -1,12 +1,13 @@
 """Content profiles: metrics of a blob's leading bytes, content labels, and the type derived from them.
 
-Everything but the byte statistics is a Catalyst expression over one projection; the
-byte statistics (entropy, unique bytes, repetition, histogram) are one Arrow UDF that
-sees at most 8 KB of each blob. Nothing here shuffles.
+A blob's sample (8 KB at most) is measured and labelled by one Arrow function; the type
+that follows is a Catalyst expression. Nothing here shuffles.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -74,42 +75,94 @@ def code_tenths(l1: Column) -> Column:
     return F.when(F.length(l1) > 0, F.least(reduce(add, parts), F.lit(10))).otherwise(0)
 
 
-def data_format(text: Column) -> Column:
-    return rules.over(text, lambda r: r.first(rules.FORMATS))
+_format, _markup = rules.first(rules.FORMATS), rules.first(rules.MARKUP)
+_code = {name: rules.points(x) for name, x in rules.CODE.items()}
+_words = {name: rules.points([(1, w) for w in words], 1) for name, words in rules.WORDS.items()}
+_scripts = [(name, re.compile(f"[{chr(a)}-{chr(b)}]")) for name, a, b in rules.SCRIPTS]
 
 
-def markup(text: Column) -> Column:
-    return rules.over(text, lambda r: r.first(rules.MARKUP))
+def _code_scores(t: tuple[str, str, str]) -> dict[str, int]:
+    own = {name: fn(*t) for name, fn in _code.items()}
+    return {name: s + own[rules.BUILDS_ON[name]] if name in rules.BUILDS_ON else s for name, s in own.items()}
 
 
-def _code_scores(r: rules.SparkRules) -> dict[str, Column]:
-    own = {name: r.points(x) for name, x in rules.CODE.items()}
-    return {name: s + own[rules.BUILDS_ON[name]] if name in rules.BUILDS_ON else s for name, s in own.items()}
+def _guess(t: tuple[str, str, str]) -> str:
+    return rules.best(_code_scores(t), rules.MIN_CODE)
+
+
+def _nat_language(t: tuple[str, str, str]) -> str:
+    if not t[1].isascii():
+        for name, script in _scripts:
+            if script.search(t[1]):
+                return name
+    return rules.best({name: fn(*t) for name, fn in _words.items()}, rules.MIN_WORDS)
+
+
+def _over(text: pa.Array, fn: Callable[[tuple[str, str, str]], object], kind: pa.DataType) -> pa.Array:
+    return pa.array([None if x is None else fn(rules.forms(x)) for x in text.to_pylist()], kind)
+
+
+@F.arrow_udf(T.StringType())
+def data_format(text: pa.Array) -> pa.Array:
+    return _over(text, lambda t: _format(*t), pa.string())
 
 
-def code_scores(text: Column) -> Column:
+@F.arrow_udf(T.StringType())
+def markup(text: pa.Array) -> pa.Array:
+    return _over(text, lambda t: _markup(*t), pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nat_language(text: pa.Array) -> pa.Array:
+    return _over(text, _nat_language, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def code_language(text: pa.Array) -> pa.Array:
+    return _over(text, _guess, pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.IntegerType())])))
+def code_scores(text: pa.Array) -> pa.Array:
     """An array of (lang, score)."""
-    return rules.over(text, lambda r: F.array(*(F.struct(F.lit(n).alias("lang"), s.alias("score")) for n, s in _code_scores(r).items())))
+    return _over(text, lambda t: [{"lang": n, "score": s} for n, s in _code_scores(t).items()], pa.list_(pa.struct([("lang", pa.string()), ("score", pa.int32())])))
 
 
-def code_language(text: Column) -> Column:
-    return rules.over(text, lambda r: rules.best(_code_scores(r), rules.MIN_CODE))
+_MEASURES = T.StructType([*STATS.fields, T.StructField("ascii_ratio", T.DoubleType()), T.StructField("code_tenths", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in ("data_fmt", "markup", "nat_lang", "guess"))])
+_plain = np.zeros(256, bool)
+_plain[[9, 10, 13, *range(0x20, 0x7F)]] = True
+_signs = [([ord(x) for x in chars], s, t) for chars, s, t in CODE_SIGNS]
 
 
-def _nat_language(r: rules.SparkRules) -> Column:
-    out = rules.best({name: r.points([(1, w) for w in words], r.low) for name, words in rules.WORDS.items()}, rules.MIN_WORDS)
-    for name, a, b in reversed(rules.SCRIPTS):
-        out = F.when(r.low.rlike(f"[\\x{{{a:X}}}-\\x{{{b:X}}}]"), name).otherwise(out)
-    return out
+@F.arrow_udf(_MEASURES)
+def measures(content: pa.Array, text: pa.Array) -> pa.Array:
+    """Everything that a profile says of a sample and of its text."""
+    out = []
+    for x, t in zip(_views(content), text.to_pylist()):
+        c, n = np.bincount(x, minlength=256), max(len(x), 1)
+        p = c[c > 0] / n
+        tenths = sum(w for at, s, w in _signs if (c[at].sum() / n > s if s > 0 else c[at].sum() / n < -s)) if len(x) else 0
+        f = rules.forms(t)
+        out.append((float(-(p * np.log2(p)).sum()) + 0.0, int((c > 0).sum()), repetition(x), float(c[_plain].sum() / n), min(tenths, 10), _format(*f), _markup(*f), _nat_language(f), _guess(f)))
+    cols = list(zip(*out)) or [()] * 9
+    kinds = [pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), *[pa.string()] * 4]
+    return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], [f.name for f in _MEASURES])
 
 
-def nat_language(text: Column) -> Column:
-    return rules.over(text, _nat_language)
+#: The labels of each kind by number; the first is what a kind has for nothing found.
+LABELS: dict[str, list[str]] = {
+    "type": ["text", "code", "binary", "repetitive", "low-entropy", "random"],
+    "language": ["Unknown", *rules.CODE],
+    "data_fmt": ["None", *(n for n, _ in rules.FORMATS)],
+    "markup": ["None", "HTML", "Markdown", "LaTeX", "RTF", "reST", "AsciiDoc", "Org"],
+    "nat_lang": ["Unknown", "English", "Spanish", "French", "Portuguese", "German", "Italian", "Dutch", "Chinese", "Arabic", "Hindi", "Indonesian", "Bengali", "Russian", "Japanese"],
+}
 
 
-def labels(text: Column) -> Column:
-    """All four labels of a text as one struct: data_fmt, markup, nat_lang, guess (the code language)."""
-    return rules.over(text, lambda r: F.struct(r.first(rules.FORMATS).alias("data_fmt"), r.first(rules.MARKUP).alias("markup"), _nat_language(r).alias("nat_lang"), rules.best(_code_scores(r), rules.MIN_CODE).alias("guess")))
+def label(kind: str, code: Column) -> Column:
+    """The label of a number; beyond those there are it is unknown."""
+    names = LABELS[kind]
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), F.when(code >= 0, code)), F.lit("unknown" if kind == "type" else "Unknown"))
 
 
 def content_type() -> Column:
@@ -130,9 +183,9 @@ def content_type() -> Column:
 def profile(df: DataFrame, content: Column, keep: list[str]) -> DataFrame:
     """keep and the whole profile of each blob; null content counts as empty."""
     s = bytesx.sample(F.coalesce(content, F.lit(b"")))
-    base = df.select(*keep, s.alias("s")).select(*keep, "s", bytesx.latin1(F.col("s")).alias("l1"), bytesx.lenient_text(F.col("s")).alias("t"), byte_stats("s").alias("stats"))
-    made = rules.bind(F.col("l1"), lambda l1: F.struct(ascii_ratio(l1).alias("ascii_ratio"), code_tenths(l1).alias("code_tenths")))
-    wide = base.select(*keep, F.octet_length("s").alias("n"), "stats", made.alias("m"), labels(F.col("t")).alias("l")).select(*keep, "n", "stats.*", "m.*", "l.*")
+    base = df.select(*keep, s.alias("s"))
+    made = base.select(*keep, F.octet_length("s").alias("n"), measures(F.col("s"), bytesx.lenient_text(F.col("s"))).alias("m"))
+    wide = made.select(*keep, "n", "m.*")
     typed = wide.withColumn("type", content_type())
     js = (F.col("type") == "code") & (F.col("data_fmt") == "None") & (F.col("markup") == "HTML")
     plain = (F.col("type") == "code") & (F.col("data_fmt") == "None") & (F.col("markup") == "None")

@@ -7,17 +7,22 @@ vocabulary is a model of bounded size: loading one beyond ``MAX_TOKENS`` is an e
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import rules
 from ..functions.bytesx import latin1
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 MAX_TOKENS = 200_000
 
 
@@ -32,28 +37,44 @@ def basic(spark: SparkSession) -> DataFrame:
 
 
 def load_tiktoken(lines: DataFrame) -> DataFrame:
-    """(token, rank) of a DataFrame of lines `base64 rank`; other lines are skipped, of equal tokens the last rank wins.
+    """(token, rank) of a DataFrame of lines `base64 rank`, in order; lines without a blank are skipped, of equal tokens the
+    last line wins.
 
-    A malformed token or rank fails the query."""
-    parts = F.split(F.trim("value"), " +")
-    rows = lines.where(F.size(parts) == 2).select(F.unbase64(parts[0]).alias("token"), parts[1].cast("int").alias("rank"))
-    return rows.groupBy("token").agg(F.max("rank").alias("rank"))
+    A malformed token or rank (a third field makes it one) fails the query."""
+    at = F.instr("value", " ")
+    rank = F.when(F.substring("value", at + 1, F.length("value")).rlike("^[+-]?[0-9]+$"), F.substring("value", at + 1, F.length("value")).cast("int")).otherwise(F.raise_error(F.concat(F.lit("invalid rank: "), F.col("value"))).cast("int"))
+    rows = lines.where(at > 0).select(F.unbase64(F.substring("value", F.lit(1), at - 1)).alias("token"), rank.alias("rank"), F.monotonically_increasing_id().alias("line"))
+    return rows.groupBy("token").agg(F.max_by("rank", "line").alias("rank"))
 
 
 def stats(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count("*").alias("size"), F.max(F.octet_length("token")).alias("max_len"))
 
 
+def _automaton(root: dict, tokens: list[bytes]):
+    """An automaton of the tokens, if the library for it is there and every byte is a token."""
+    if ahocorasick is None or any(None not in root.get(b, ()) for b in range(256)):
+        return None
+    out = ahocorasick.Automaton()
+    for i, t in enumerate(tokens):
+        if t:
+            out.add_word(t.decode("latin-1"), i)
+    out.make_automaton()
+    return out
+
+
 class Trie:
     """Nested dicts by byte; the token's id under None."""
 
     def __init__(self, tokens: Iterable[bytes]):
+        tokens = list(tokens)
         self.root: dict = {}
         for i, t in enumerate(tokens):
             node = self.root
             for b in t:
                 node = node.setdefault(b, {})
             node[None] = i
+        self.fast = _automaton(self.root, tokens)
 
     def longest(self, data: bytes, at: int) -> tuple[int, int]:
         """(length, id) of the longest token that starts at a position; (0, -1) if there is none."""
@@ -66,6 +87,9 @@ class Trie:
 
     def encode(self, data: bytes) -> list[int]:
         """Greedy longest match from left to right; a byte that no token covers gives its own value."""
+        if self.fast is not None:
+            # The leftmost longest matches; as every byte is a token, each begins where the last one ended.
+            return [i for _, i in self.fast.iter_long(data.decode("latin-1"))]
         out, at = [], 0
         while at < len(data):
             length, i = self.longest(data, at)
@@ -121,11 +145,35 @@ def decode(encoded: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def pair_counts(symbols: DataFrame, text: str = "z") -> DataFrame:
-    """(pair, n): how often two characters stand next to each other, overlapping ones included."""
-    # Characters as an array: a substring would search its place from the start each time.
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    pairs = rules.bind(chars, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda y, i: F.concat(F.get(x, i), y)))
-    return symbols.where(F.length(text) > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    """(pair, n): how often two characters stand next to each other, overlapping ones included.
+
+    Each task counts its own pairs first, so no more than one row of a pair comes from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size = [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            uniq, of = np.unique(np.concatenate(keys), return_inverse=True)
+            return uniq, np.bincount(of, np.concatenate(counts), len(uniq)).astype(np.int64)
+
+        for b in batches:
+            x = [np.frombuffer(t.encode("utf-16-le"), np.uint16).astype(np.uint32) for t in b.column(0).to_pylist() if t and len(t) > 1]
+            if x:
+                flat = np.concatenate(x)
+                ok = np.ones(len(flat) - 1, bool)
+                ok[np.cumsum([len(t) for t in x])[:-1] - 1] = False
+                k, n = np.unique((flat[:-1] << np.uint32(16) | flat[1:])[ok], return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                size += len(k)
+                if size > 1 << 22:
+                    k, n = summed()
+                    keys, counts, size = [k], [n], len(k)
+        if keys:
+            k, n = summed()
+            yield pa.record_batch([pa.array([chr(p >> 16) + chr(p & 0xFFFF) for p in k.tolist()], pa.string()), pa.array(n, pa.int64())], ["pair", "n"])
+
+    return symbols.select(text).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def merge(symbols: DataFrame, pair: str, new: int, text: str = "z") -> DataFrame:
@@ -178,6 +226,31 @@ def train(docs: DataFrame, content: Column, merges: int, cut_every: int = 8, ahe
     return spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(tokens)], "token binary, rank int")
 
 
+def train_local(blobs: Iterable[bytes], merges: int) -> tuple[bytes, ...]:
+    """The tokens that train() finds, of a bounded sample on the driver: all counts anew for each merge, as arrays."""
+    x = np.concatenate([np.zeros(0, np.int64), *(np.append(np.frombuffer(b, np.uint8).astype(np.int64), -1) for b in blobs)])
+    tokens = [bytes([i]) for i in range(256)]
+    while len(tokens) < 256 + merges and len(x) > 1:
+        ok = (x[:-1] >= 0) & (x[1:] >= 0)
+        # Pairs sort by their first symbol, then by their second: the first of the largest counts is the least pair.
+        pair, n = np.unique((x[:-1] << 20 | x[1:])[ok], return_counts=True)
+        if not len(n) or n.max() < 2:
+            break
+        a, b = divmod(int(pair[n.argmax()]), 1 << 20)
+        at = np.flatnonzero((x[:-1] == a) & (x[1:] == b))
+        if a == b and len(at):
+            # Of a run, every second place.
+            new = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+            rank = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
+            at = at[rank % 2 == 0]
+        x[at] = len(tokens)
+        keep = np.ones(len(x), bool)
+        keep[at + 1] = False
+        x = x[keep]
+        tokens.append(tokens[a] + tokens[b])
+    return tuple(tokens)
+
+
 def varint_size(ids: Column) -> Column:
     """Bytes of the ids as 7-bit variable-length integers."""
     return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + F.when(x < 128, 1).when(x < 16384, 2).when(x < 2097152, 3).when(x < 268435456, 4).otherwise(5))

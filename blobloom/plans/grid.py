@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import choose, codecs
@@ -84,6 +84,24 @@ def summary(measured: DataFrame) -> DataFrame:
         FROM __grid GROUP BY GROUPING SETS ((), (category), (size_kb))""")
 
 
+def parsed_sizes(text: Column) -> Column:
+    """The sizes named in a list such as 64,2,16, in ascending order."""
+    return F.array_sort(F.transform(F.split(text, ","), lambda x: F.trim(x).cast("int")))
+
+
+def filtered(measured: DataFrame, category: str = "", size_kb: int | None = None) -> DataFrame:
+    """The rows of a category and of a size; an empty choice takes all."""
+    out = measured.where(F.col("category") == category) if category else measured
+    return out if size_kb is None else out.where(F.col("size_kb") == size_kb)
+
+
+def formatted(measured: DataFrame, *keep: str) -> DataFrame:
+    """The figures of a report as it prints them: percent and kilobytes with one decimal, whether there is a gain, and the
+    category's style name."""
+    kb = lambda x: F.format_string("%.1f", F.col(x) / 1024)
+    return measured.select(*keep, F.format_string("%.1f", "gain").alias("gain_pct"), kb("original").alias("original_kb"), kb("packed").alias("packed_kb"), (F.col("gain") > 0).alias("positive"), F.lower("category").alias("style"))
+
+
 def report(measured: DataFrame, path: str) -> None:
     """The facts and their roll-ups as JSON lines."""
     measured.write.mode("overwrite").json(f"{path}/facts")

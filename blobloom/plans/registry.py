@@ -200,10 +200,28 @@ def _word_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg((-F.count("*")).alias("rank"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str, most: int = 244) -> tuple[bytes, ...]:
-    """All bytes, and the most frequent words of the benchmark table behind a blank."""
-    rows = _word_ranks(spark, sf_dir).orderBy("rank", "token").limit(most).collect()
-    return (*(bytes([i]) for i in range(256)), *(b" " + r["token"].encode() for r in rows))
+#: Bytes of a vocabulary's sample at most, and its tokens beyond the single bytes.
+SAMPLE, TOKENS = 64 << 10, {"text": 1000, "go": 1500, "python": 1500, "javascript": 1500}
+_trained: dict[tuple, tuple[bytes, ...]] = {}
+
+
+def _trained_on(name: str, blobs: list[bytes], merges: int) -> tuple[bytes, ...]:
+    key = (name, merges, hash(tuple(blobs)))
+    if key not in _trained:
+        _trained[key] = vocabulary.train_local(blobs, merges)
+    return _trained[key]
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[bytes, ...]:
+    """The text vocabulary: trained on a bounded sample of the benchmark table."""
+    rows = read(spark, sf_dir, "benchmark").where("text is not null").orderBy(F.xxhash64("text"), "text").select("text", F.octet_length("text").alias("n"))
+    some, size = [], 0
+    for r in rows.limit(SAMPLE // 16).toLocalIterator():
+        if size + r["n"] > SAMPLE:
+            break
+        some.append(r["text"].encode())
+        size += r["n"]
+    return _trained_on("text", some, TOKENS["text"])
 
 
 @query("WITH " + _words_sql + " SELECT token, row_number() OVER (ORDER BY rank, encode(token)) - 1 AS id FROM v")
@@ -225,8 +243,10 @@ def basic_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _words_sql + " SELECT token, (1000 + rank)::INT AS rank FROM v")
 def tiktoken_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _word_ranks(spark, sf_dir).select(F.concat_ws(" ", F.base64(bytesx.as_bytes(c("token"))), (c("rank") + 1000).cast("string")).alias("value"))
+    # Lines of one field are skipped, and a token's last line wins.
     extra = spark.createDataFrame([("",), ("only-one-field",)], "value string")
-    return vocabulary.load_tiktoken(lines.unionByName(extra)).select(c("token").cast("string").alias("token"), "rank")
+    early = lines.select(F.concat(F.split("value", " ")[0], F.lit(" 999999")).alias("value"))
+    return vocabulary.load_tiktoken(extra.unionByName(early).unionByName(lines)).select(c("token").cast("string").alias("token"), "rank")
 
 
 FEW = ["the ", "the", "and ", " of ", "ing", "tion", "er", "en", "he", " de "]
@@ -377,13 +397,47 @@ def deflate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blobs(spark, sf_dir, "documents", "doc_id").select("doc_id", F.octet_length("b").alias("size"), F.octet_length(codecs.deflate_raw("b")).alias("packed"))
 
 
-@query()
+_crc_sql = """WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))),
+b AS (SELECT conv_id, turn, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)] AS bytes FROM (SELECT conv_id, turn, hex(encode(coalesce(text, ''))) AS h FROM conversations))
+SELECT conv_id, turn, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295), 4294967295) AS crc FROM b, tab"""
+
+
+@query(_crc_sql)
 def crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blobs(spark, sf_dir, "documents", "doc_id").select("doc_id", codecs.crc32(c("b")).alias("crc"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", bytesx.as_bytes(F.coalesce("text", F.lit(""))).alias("b"))
+    return rows.select("conv_id", "turn", codecs.crc32(c("b")).alias("crc"))
+
+
+#: Range coding step by step: a state x and the bytes o it has given off, in hexadecimal.
+_rans_bytes_sql = _rans_sql + """, cums AS (SELECT item_id, byte, freq, coalesce(sum(freq) OVER (PARTITION BY item_id ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum FROM t),
+cells AS (SELECT i.item_id AS item_id, v, coalesce(freq, 0)::BIGINT AS freq, coalesce(cum, 0)::BIGINT AS cum FROM (SELECT DISTINCT item_id FROM cums) i CROSS JOIN range(256) r(v) LEFT JOIN cums ON cums.item_id = i.item_id AND cums.byte = v),
+tabs AS (SELECT item_id, list(freq ORDER BY v) AS f, list(cum ORDER BY v) AS k FROM cells GROUP BY item_id),
+back AS (SELECT item_id, [{'x': ('0x' || substr(h, 2 * (n - i) - 1, 2))::BIGINT, 'o': ''} FOR i IN range(n)] AS bytes, n FROM (SELECT item_id, h, length(h) // 2 AS n FROM x) WHERE n > 0),
+coded AS (SELECT item_id, n, f, list_reduce(bytes, lambda a, s: {
+  'x': (((a.x >> CASE WHEN a.x >= 131072 * f[s.x + 1] THEN CASE WHEN (a.x >> 8) >= 131072 * f[s.x + 1] THEN 16 ELSE 8 END ELSE 0 END) // f[s.x + 1]) << 14)
+       + (a.x >> CASE WHEN a.x >= 131072 * f[s.x + 1] THEN CASE WHEN (a.x >> 8) >= 131072 * f[s.x + 1] THEN 16 ELSE 8 END ELSE 0 END) % f[s.x + 1] + k[s.x + 1],
+  'o': CASE WHEN a.x >= 131072 * f[s.x + 1] THEN CASE WHEN (a.x >> 8) >= 131072 * f[s.x + 1] THEN format('{:02X}', (a.x >> 8) & 255) ELSE '' END || format('{:02X}', a.x & 255) ELSE '' END || a.o}, {'x': 8388608::BIGINT, 'o': ''}) AS r FROM back JOIN tabs USING (item_id)),
+le AS (SELECT item_id, format('{:02X}{:02X}{:02X}{:02X}', n & 255, (n >> 8) & 255, (n >> 16) & 255, n >> 24) || array_to_string([format('{:02X}{:02X}', v & 255, v >> 8) FOR v IN f], '')
+  || format('{:02X}{:02X}{:02X}{:02X}', r.x & 255, (r.x >> 8) & 255, (r.x >> 16) & 255, r.x >> 24) || r.o AS packed FROM coded)"""
+
+
+@query(_rans_bytes_sql + " SELECT x.item_id, coalesce(packed, '00000000') AS packed FROM x LEFT JOIN le ON x.item_id = le.item_id")
+def rans_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blobs(spark, sf_dir, "benchmark", "item_id").select("item_id", F.hex(codecs.rans_pack("b")).alias("packed"))
 
 
 def _vocabularies(spark: SparkSession, sf_dir: str) -> dict[str, tuple[bytes, ...]]:
-    return {"text": _tokens(spark, sf_dir)}
+    """Text, and one vocabulary for each language that has its own, trained on generated code of it."""
+    out = {"text": _tokens(spark, sf_dir)}
+    code = {r["kind"]: bytes(r["content"]) for r in grid.generate(spark, (SAMPLE >> 10,)).where(c("kind").isin(list(zipformat.VOCAB_CODES))).collect()}
+    return out | {k: _trained_on(k, [code[k]], TOKENS[k]) for k in zipformat.VOCAB_CODES if k in code}
+
+
+@query("SELECT name, max_len >= 2 AS longer, size > 256 AS more FROM (VALUES " + ", ".join(f"('{n}', 2, 257)" for n in zipformat.VOCAB_CODES) + ") v(name, max_len, size)")
+def vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _vocabularies(spark, sf_dir)
+    rows = spark.createDataFrame([(n, bytearray(t), i) for n, x in made.items() for i, t in enumerate(x)], "name string, token binary, rank int")
+    return rows.groupBy("name").agg((F.max(F.octet_length("token")) >= 2).alias("longer"), (F.count("*") > 256).alias("more"))
 
 
 @query()
@@ -406,12 +460,12 @@ def method_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- archives
 
 
-def _archives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[bytes, ...]]]:
+def _archives(spark: SparkSession, sf_dir: str, folder: bool = True) -> tuple[DataFrame, dict[str, tuple[bytes, ...]]]:
     vocab = _vocabularies(spark, sf_dir)
     turns = read(spark, sf_dir, "conversations")
     rows = turns.select(c("conv_id").alias("archive_id"), (c("turn") + 1).cast("int").alias("ordinal"), F.format_string("turns/%04d-%s.txt", "turn", "role").alias("name"), F.lit("file").alias("kind"), bytesx.as_bytes(c("text")).alias("content"), F.lit(None).cast("string").alias("link_target"), F.timestamp_seconds(F.lit(1_700_000_000) + c("turn")).alias("mtime"), F.lit(0o644).alias("mode"))
-    folder = turns.select(c("conv_id").alias("archive_id")).distinct().select("archive_id", F.lit(0).alias("ordinal"), F.lit("turns").alias("name"), F.lit("dir").alias("kind"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("link_target"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("mtime"), F.lit(0o755).alias("mode"))
-    return archives.pack(archives.encode_entries(rows.unionByName(folder), vocab)), vocab
+    dirs = turns.select(c("conv_id").alias("archive_id")).distinct().select("archive_id", F.lit(0).alias("ordinal"), F.lit("turns").alias("name"), F.lit("dir").alias("kind"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("link_target"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("mtime"), F.lit(0o755).alias("mode"))
+    return archives.pack(archives.encode_entries(rows.unionByName(dirs) if folder else rows, vocab)), vocab
 
 
 _entries_sql = """SELECT conv_id AS archive_id, (turn + 1)::INT AS ordinal, format('turns/{:04d}-{}.txt', turn, role) AS name, octet_length(encode(text))::BIGINT AS size, 1700000000 + turn AS mtime, 33188 AS mode FROM conversations
@@ -544,11 +598,68 @@ def bench_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.measure(grid.generate(spark), _vocabularies(spark, sf_dir))
 
 
-@query("SELECT type, code, label FROM (VALUES " + ", ".join(f"('method', {k}, '{v}')" for k, v in choose.NAMES.items()) + ", " + ", ".join(f"('vocabulary', {v}, '{k}')" for k, v in zipformat.VOCAB_CODES.items()) + ", ('method', 99, 'unknown')) v(type, code, label)")
+_dimensions = {k: (v, "unknown" if k == "type" else "Unknown") for k, v in profile.LABELS.items()} | {f"wire_{k}": (v, "unknown") for k, v in zipformat.CODES.items()} | {"vocabulary": (list(zipformat.VOCAB_CODES), "unknown")}
+_labels_known = [(k, i, x) for k, (names, _) in _dimensions.items() for i, x in enumerate(names)] + [("method", k, v) for k, v in choose.NAMES.items()]
+_labels_beyond = [(k, len(names) + 7, other) for k, (names, other) in _dimensions.items()] + [("method", 99, "unknown")]
+
+
+@query("SELECT kind, code::INT AS code, label FROM (VALUES " + ", ".join(f"('{k}', {i}, '{x}')" for k, i, x in _labels_known + _labels_beyond) + ") v(kind, code, label)")
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = [("method", k, v) for k, v in choose.NAMES.items()] + [("vocabulary", v, k) for k, v in zipformat.VOCAB_CODES.items()]
-    names = spark.createDataFrame(known, "type string, code int, label string")
-    asked = spark.createDataFrame([(t, k) for t, k, _ in known] + [("method", 99)], "type string, code int")
-    return asked.join(names, ["type", "code"], "left").select("type", "code", F.coalesce("label", F.lit("unknown")).alias("label"))
+    names = spark.createDataFrame(_labels_known, "kind string, code int, label string")
+    asked = spark.createDataFrame([(k, i) for k, i, _ in _labels_known + _labels_beyond], "kind string, code int")
+    other = F.when(c("kind").isin([k for k, (_, o) in _dimensions.items() if o == "Unknown"]), "Unknown").otherwise("unknown")
+    return asked.join(F.broadcast(names), ["kind", "code"], "left").select("kind", "code", F.coalesce("label", other).alias("label"))
+
+
+@query(f"WITH e AS ({_entries_sql}), f AS (SELECT archive_id, min(turn) AS turn FROM (SELECT conv_id AS archive_id, turn FROM conversations) GROUP BY archive_id) SELECT e.archive_id, name, size, mtime, mode FROM e JOIN f ON e.archive_id = f.archive_id AND e.ordinal = f.turn + 1")
+def first_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = _archives(spark, sf_dir, folder=False)
+    return archives.first_entry(made, "archive_id").where("error is null").select("archive_id", "name", "size", F.unix_timestamp("mtime").alias("mtime"), "mode")
+
+
+@query(f"SELECT archive_id, ordinal, name FROM ({_entries_sql}) WHERE regexp_matches(name, '^turns/[^/]*-user[.]txt$')")
+def listing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = _archives(spark, sf_dir)
+    return archives.list_entries(made, "archive_id", patterns=["*-user.txt"]).select("archive_id", "ordinal", "name")
+
+
+@query(f"SELECT archive_id, coalesce(name, '') AS name, line FROM (SELECT archive_id, name, format('{{:10d}}  {{}}', size, name) AS line FROM ({_entries_sql}) UNION ALL SELECT archive_id, NULL, format('{{:10d}}  {{}}', sum(size)::BIGINT, count(*)::VARCHAR || ' files') FROM ({_entries_sql}) GROUP BY archive_id)")
+def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = _archives(spark, sf_dir)
+    listed = archives.listing(archives.list_entries(made, "archive_id"), "archive_id")
+    return archives.printed(listed, "archive_id").select("archive_id", F.coalesce("name", F.lit("")).alias("name"), "line")
+
+
+@query()
+def listing_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = _archives(spark, sf_dir)
+    listed = archives.listing(archives.list_entries(made, "archive_id"), "archive_id", verbose=True)
+    return archives.printed(listed, "archive_id", verbose=True)
 
 
+@query("SELECT page_id, CASE WHEN ends_with(url, '.zip') THEN url ELSE url || '.zip' END AS file FROM pages UNION ALL SELECT page_id, url || '.zip' FROM pages")
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(F.array("url", F.concat("url", F.lit(".zip")))).alias("name"))
+    return rows.select("page_id", archives.archive_name(c("name")).alias("file"))
+
+
+@query("SELECT size_kb, row_number() OVER (ORDER BY size_kb) - 1 AS place FROM (SELECT unnest([64, 2, 1024, 16, 8, 512, 4, 2048, 32, 128, 256]) AS size_kb)")
+def sorted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("64,2, 1024,16,8,512,4,2048,32,128,256",)], "sizes string")
+    return rows.select(F.posexplode(grid.parsed_sizes(c("sizes"))).alias("place", "size_kb")).select("size_kb", c("place").cast("long").alias("place"))
+
+
+@query(f"SELECT doc_id, category, size_kb FROM (SELECT doc_id, {_facts_sql[7:]}) WHERE category = 'en' AND size_kb = 1")
+def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.filtered(_facts(spark, sf_dir), "en", 1).select("doc_id", "category", "size_kb")
+
+
+@query(f"WITH f AS (SELECT doc_id, {_facts_sql[7:]}), g AS (SELECT *, {_gain_sql} AS gain FROM f) SELECT doc_id, printf('%.1f', gain) AS gain_pct, printf('%.1f', original / 1024) AS original_kb, printf('%.1f', packed / 1024) AS packed_kb, gain > 0 AS positive, lower(category) AS style FROM g")
+def report_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.formatted(_facts(spark, sf_dir), "doc_id")
+
+
+@query()
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-ups of the whole grid, from the sizes that the codecs give."""
+    return grid.summary(grid.measure(grid.generate(spark), _vocabularies(spark, sf_dir)))

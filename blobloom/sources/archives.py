@@ -8,18 +8,20 @@ memory of an entry. Encoding happens before that, spread over all tasks.
 from __future__ import annotations
 
 import os
+import re
 import stat
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.bytesx import matches_any
+from ..functions import bytesx
+from ..functions.bytesx import glob_regex, matches_any
 from ..operators import choose, codecs
 from . import zipformat as zf
 
@@ -76,8 +78,9 @@ class _ZipReader(DataSourceReader):
                 yield (partition.value, *[None] * 11, str(e))
 
 
-def list_entries(archives: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """key, the entry's columns and error, for each entry of archives held in a binary column; a bad archive gives one row."""
+def list_entries(archives: DataFrame, key: str, content: str = "content", patterns: list[str] | None = None) -> DataFrame:
+    """key, the entry's columns and error, for each entry of archives held in a binary column whose name matches; a bad archive
+    gives one row."""
     kind = T.StructType.fromDDL(zf.SCHEMA + ", error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,33 +98,54 @@ def list_entries(archives: DataFrame, key: str, content: str = "content") -> Dat
             arrow = to_arrow_schema(kind)
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], [key, *arrow.names])
 
-    return archives.select(key, content).mapInArrow(run, T.StructType([archives.schema[key], *kind.fields]))
+    listed = archives.select(key, content).mapInArrow(run, T.StructType([archives.schema[key], *kind.fields]))
+    return listed.where(F.col("error").isNotNull() | matches_any(F.col("name"), patterns)) if patterns else listed
 
 
 def read_entries(archives: DataFrame, key: str, vocabularies: Vocabularies, patterns: list[str] | None = None, content: str = "content") -> DataFrame:
     """(key, ordinal, name, data, error): the decoded files (no directories) whose name matches; names are filtered before
-    anything is decoded, and checksums are verified."""
-    listed = list_entries(archives, key, content).where("error is null and name not like '%/'")
-    if patterns:
-        listed = listed.where(matches_any(F.col("name"), patterns))
-    wanted = listed.groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("ordinal", "name", "comp_size", "method", "crc32", "offset", F.coalesce("vocab.prog", F.lit(0)).alias("prog"))).alias("__want"))
-    both = archives.select(key, content).join(wanted, F.col(key) == F.col("__k"))
+    anything is decoded, and checksums are verified. One pass over the archives, nothing is shuffled; archives of equal or
+    null keys stay apart. What is no archive has no entries."""
+    globs = [re.compile(g) for p in patterns or () if (g := glob_regex(p))]
+
+    def wanted(name: str) -> bool:
+        return not name.endswith("/") and (not patterns or any(g.search(name) or g.search(name.rsplit("/", 1)[-1]) for g in globs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, data, want in zip(_column(b, key).to_pylist(), _column(b, content).to_pylist(), _column(b, "__want").to_pylist()):
-                out = []
-                for e in want:
+            for k, data in zip(_column(b, key).to_pylist(), _column(b, content).to_pylist()):
+                data, out = bytes(data or b""), []
+                try:
+                    found = [e for e in zf.entries(data) if wanted(e["name"])]
+                except zf.Invalid:
+                    continue
+                for e in found:
                     try:
-                        tokens = vocabularies.get(zf.VOCAB_NAMES.get(e["prog"], "text")) or vocabularies["text"]
-                        got = choose.decode(zf.body(bytes(data), e), e["method"], tokens)
+                        tokens = vocabularies.get(zf.VOCAB_NAMES.get((e["vocab"] or {}).get("prog", 0), "text")) or vocabularies["text"]
+                        got = choose.decode(zf.body(data, e), e["method"], tokens)
                         out.append((e["ordinal"], e["name"], got, None if zlib.crc32(got) == e["crc32"] else "checksum differs"))
                     except (ValueError, IndexError) as problem:
                         out.append((e["ordinal"], e["name"], None, str(problem)))
-                o, n, d, x = zip(*out)
-                yield pa.record_batch([pa.array([k] * len(out), b.schema.field(key).type), pa.array(o, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(x, pa.string())], [key, "ordinal", "name", "data", "error"])
+                if out:
+                    o, n, d, x = zip(*out)
+                    yield pa.record_batch([pa.array([k] * len(out), b.schema.field(key).type), pa.array(o, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(x, pa.string())], [key, "ordinal", "name", "data", "error"])
 
-    return both.mapInArrow(run, T.StructType([archives.schema[key], *T.StructType.fromDDL("ordinal int, name string, data binary, error string").fields]))
+    return archives.select(key, content).mapInArrow(run, T.StructType([archives.schema[key], *T.StructType.fromDDL("ordinal int, name string, data binary, error string").fields]))
+
+
+def first_entry(archives: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key and what the first local header says (name, size, comp_size, method, crc32, mtime, mode, vocab), from the archive's
+    leading bytes; mode is that of the first directory record, 0644 without one. error: too short, no header, or cut off."""
+    c = F.col(content)
+    u = lambda at, n: bytesx.le_uint(c, at, n)
+    n_name, n_extra = u(26, 2), u(28, 2)
+    good = F.octet_length(c) >= zf.LOCAL_SIZE
+    problem = F.when(c.isNull() | ~good, "too short").when(~zf.is_valid(c), "no local header").when(F.octet_length(c) < zf.LOCAL_SIZE + n_name + n_extra, "cut off")
+    made = archives.select(key, c.alias("__c"), problem.alias("error"), u(8, 2).cast("smallint").alias("method"), u(10, 2).cast("int").alias("__time"), u(12, 2).cast("int").alias("__date"), u(14, 4).alias("crc32"), u(18, 4).alias("comp_size"), u(22, 4).alias("size"), F.substring(c, F.lit(zf.LOCAL_SIZE + 1), n_name.cast("int")).cast("string").alias("name"), F.substring(c, (n_name + zf.LOCAL_SIZE + 1).cast("int"), n_extra.cast("int")).alias("__extra"))
+    extra = zf.extra_columns(F.col("__extra"))
+    mode = zf.first_mode(F.col("__c"))
+    out = made.select(key, "name", "size", "comp_size", "method", "crc32", F.coalesce(extra["mtime"], zf.dos_timestamp(F.col("__date"), F.col("__time"))).alias("mtime"), F.coalesce(mode, F.lit(0o644)).alias("mode"), extra["vocab"].alias("vocab"), "error")
+    return out.select(key, *(F.when(F.col("error").isNull(), F.col(x)).alias(x) for x in out.columns if x not in (key, "error")), "error")
 
 
 def test_archives(archives: DataFrame, key: str, vocabularies: Vocabularies, patterns: list[str] | None = None) -> DataFrame:
@@ -284,19 +308,45 @@ def manifest(spark: SparkSession, root: str, recursive: bool = False, links: boo
 
 
 def with_content(rows: DataFrame, root: str) -> DataFrame:
-    """A manifest with the files' bytes, read by Spark's binary source."""
+    """A manifest with the files' bytes, read by Spark's binary source; links and folders have none."""
     spark = rows.sparkSession
     data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return rows.join(data, "path", "left")
+    return rows.join(data, "path", "left").withColumn("content", F.when(F.col("kind") == "file", F.col("content")))
 
 
-def listing(entries: DataFrame, key: str) -> DataFrame:
-    """(key, name, n, size, comp_size, ratio): each entry and, with a null name, each archive's total.
+def listing(entries: DataFrame, key: str, patterns: list[str] | None = None, verbose: bool = False) -> DataFrame:
+    """(key, name, n, size, comp_size, ratio): each entry and, with a null name, each archive's total; patterns choose entries
+    by name. verbose adds method, mtime, crc32 and mode (null in totals).
 
-    An entry's ratio is 0 at least; that of a total may be negative."""
-    sums = entries.rollup(key, "name").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("comp_size").alias("comp_size"), F.grouping_id().alias("g")).where("g < 3")
+    An entry's ratio is 0 at least; that of a total may be negative. Entries of equal names stay apart."""
+    if patterns:
+        entries = entries.where(matches_any(F.col("name"), patterns))
+    more = ["method", "mtime", "crc32", "mode"] if verbose else []
     r = zf.ratio(F.col("size"), F.col("comp_size"))
-    return sums.select(key, "name", "n", "size", "comp_size", F.when(F.col("g") == 0, F.greatest(r, F.lit(0))).otherwise(r).alias("ratio"))
+    each = entries.select(key, "name", F.lit(1).cast("long").alias("n"), "size", "comp_size", F.greatest(r, F.lit(0)).alias("ratio"), *more)
+    sums = entries.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("comp_size").alias("comp_size"))
+    total = sums.select(key, F.lit(None).cast("string").alias("name"), "n", "size", "comp_size", r.alias("ratio"), *(F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in more))
+    return each.unionByName(total)
+
+
+#: Width of a listing's columns, as printed.
+_LINE = {"size": "%10d", "comp_size": "%10d", "ratio": "%3d%%"}
+
+
+def printed(listed: DataFrame, key: str, verbose: bool = False) -> DataFrame:
+    """(key, name, line): a listing's rows as lines of text; the total's line says how many entries it has."""
+    name = F.coalesce("name", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " file").otherwise(" files")))
+    if not verbose:
+        return listed.select(key, "name", F.format_string("%10d  %s", "size", name).alias("line"))
+    when = F.coalesce(F.date_format("mtime", "yyyy-MM-dd HH:mm"), F.lit(" " * 16))
+    method = F.coalesce(*(F.when(F.col("method") == k, v) for k, v in choose.NAMES.items()), F.when(F.col("method").isNull(), F.lit("")), F.lit("unknown"))
+    crc = F.coalesce(F.lower(F.lpad(F.hex("crc32"), 8, "0")), F.lit(" " * 8))
+    return listed.select(key, "name", F.concat_ws("  ", F.format_string(_LINE["size"], "size"), F.rpad(method, 14, " "), F.format_string(_LINE["comp_size"], "comp_size"), F.format_string(_LINE["ratio"], "ratio"), when, crc, name).alias("line"))
+
+
+def archive_name(name: Column) -> Column:
+    """The file name of an archive: .zip is appended unless the name ends in it."""
+    return F.when(F.endswith(name, F.lit(".zip")), name).otherwise(F.concat(name, F.lit(".zip")))
 
 
 def register(spark: SparkSession) -> None:

@@ -6,8 +6,12 @@ import struct
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import bytesx
 
 LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 LOCAL_SIZE, CENTRAL_SIZE, END_SIZE = 30, 46, 22
@@ -18,6 +22,13 @@ FILE_TYPE, REGULAR, DIRECTORY, SYMLINK = 0o170000, 0o100000, 0o040000, 0o120000
 #: Numeric codes of vocabularies in the extra field (second byte).
 VOCAB_CODES = {"text": 0, "go": 1, "python": 2, "javascript": 3}
 VOCAB_NAMES = {v: k for k, v in VOCAB_CODES.items()}
+#: What the four bytes of the vocabulary field mean, by number.
+CODES: dict[str, list[str]] = {
+    "nat": ["unspecified", "en", "es", "fr", "pt", "de", "it", "nl", "zh", "ar", "hi", "id", "bn", "ru", "ja"],
+    "prog": ["none", "go", "python", "javascript", "java", "c", "c++", "c#", "ruby", "rust", "php", "swift", "kotlin"],
+    "fmt": ["none", "json", "xml", "yaml", "csv", "toml", "ini"],
+    "markup": ["none", "html", "markdown", "latex", "rtf", "rst", "asciidoc", "org"],
+}
 SCHEMA = "ordinal int, name string, size long, comp_size long, method smallint, crc32 long, mtime timestamp, mode int, offset long, vocab struct<nat:tinyint,prog:tinyint,fmt:tinyint,markup:tinyint>, truncated boolean"
 
 
@@ -184,6 +195,25 @@ def mode_type(mode: Column) -> Column:
     return F.when(kind == DIRECTORY, "dir").when(kind == SYMLINK, "link").otherwise("file")
 
 
+_EXTRA = T.StructType([T.StructField("mtime", T.TimestampType()), T.StructField("vocab", T.StructType([T.StructField(k, T.ByteType()) for k in ("nat", "prog", "fmt", "markup")]))])
+
+
+@F.arrow_udf(_EXTRA)
+def extra_columns(extra: pa.Array) -> pa.Array:
+    """The modification time and the vocabulary codes of extra fields."""
+    found = [parse_extra(x.as_py() or b"") for x in extra]
+    codes = [dict(zip(("nat", "prog", "fmt", "markup"), (v - 256 if v > 127 else v for v in x))) if x else None for _, x in found]
+    names = pa.struct([(k, pa.int8()) for k in ("nat", "prog", "fmt", "markup")])
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.timestamp("us", "UTC")), pa.array(codes, names)], ["mtime", "vocab"])
+
+
+def first_mode(content: Column) -> Column:
+    """The mode bits of the first directory record; null if there is none, or if it wasn't made by Unix."""
+    at = F.instr(bytesx.latin1(content), CENTRAL.decode("latin-1"))
+    made, attributes = bytesx.le_uint(content, at + 3, 2), bytesx.le_uint(content, at + 37, 4)
+    return F.when((at > 0) & (F.shiftright(made, 8) == 3), F.shiftright(attributes, 16).cast("int"))
+
+
 def ratio(size: Column, packed: Column) -> Column:
     """The saved share in whole percent; 0 of nothing. It may be negative."""
     return F.when(size > 0, F.lit(100) - F.floor(packed * 100 / size).cast("long")).otherwise(F.lit(0))

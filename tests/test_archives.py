@@ -104,12 +104,57 @@ def test_manifest_of_a_folder(spark, tmp_path):
     assert {r.name: bytes(r.content) for r in archives.with_content(kept, str(tmp_path / "t")).where("content is not null").collect()} == {"t/a": b"1", "t/sub/f.txt": b"hello"}
 
 
+def test_equal_names_null_keys_and_first_headers(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z, pytest.warns(UserWarning):
+        z.writestr("a.txt", b"one" * 10)
+        z.writestr("a.txt", b"two" * 20)
+        z.writestr("b/c.bin", b"x")
+    made = archives.pack(archives.encode_entries(manifest(spark, ("one",)), TOKENS)).first().content
+    df = spark.createDataFrame([(None, bytearray(buf.getvalue())), (1, bytearray(buf.getvalue())), (1, bytearray(buf.getvalue())), (2, bytearray(made)), (3, bytearray(b"PK")), (4, bytearray(made[:33])), (5, None), (6, bytearray(b"x" * 40))], "k int, content binary")
+    got = archives.read_entries(df.where("k is null or k = 1"), "k", TOKENS, ["a.*"]).collect()
+    assert sorted((str(r.k), len(r.data)) for r in got) == [("1", 30), ("1", 30), ("1", 60), ("1", 60), ("None", 30), ("None", 60)]
+    listed = archives.listing(archives.list_entries(df.where("k is null"), "k"), "k").collect()
+    assert sorted((str(r.name), r.n, r.size) for r in listed) == [("None", 3, 91), ("a.txt", 1, 30), ("a.txt", 1, 60), ("b/c.bin", 1, 1)]
+    assert {r.name for r in archives.list_entries(df.where("k = 2"), "k", patterns=["*.txt"]).collect()} == {"a.txt", "Имя файла.txt"}
+    first = {r.k: r for r in archives.first_entry(df, "k").collect()}
+    assert (first[2].name, first[2].size, first[2].mode, first[2].mtime.replace(tzinfo=timezone.utc)) == ("a.txt", len(FILES["a.txt"]), 0o100644, T0)
+    assert {k: first[k].error for k in (3, 4, 5, 6)} == {3: "too short", 4: "cut off", 5: "too short", 6: "no local header"} and first[1].crc32 == zipfile.ZipFile(buf).infolist()[0].CRC
+    assert all(first[3][c] is None for c in ("name", "size", "mode", "mtime"))
+
+
+def test_printed_listing(spark):
+    made = archives.pack(archives.encode_entries(manifest(spark, ("one",)), TOKENS))
+    entries = archives.list_entries(made, "archive_id")
+    short = {r.name: r.line for r in archives.printed(archives.listing(entries, "archive_id", ["*.txt"]), "archive_id").collect()}
+    assert short["a.txt"] == f"{len(FILES['a.txt']):10d}  a.txt" and short[None].endswith("  2 files")
+    full = {r.name: r.line for r in archives.printed(archives.listing(entries, "archive_id", verbose=True), "archive_id", verbose=True).collect()}
+    assert "2023-05-06 07:08" in full["a.txt"] and full["empty"].split()[1] == "store" and full[None].endswith("7 files") and len(full) == 8
+
+
+def test_recorded_vocabulary_is_the_one_used(spark):
+    go = "package box\n\nfunc Lid(n int) error {\n\tif err != nil {\n\t\treturn err\n\t}\n\tdefer shut()\n}\n" * 20
+    df = spark.createDataFrame([("x", 0, "a.go", "file", bytearray(go.encode()), None, T0, 0o644)], "archive_id string, ordinal int, name string, kind string, content binary, link_target string, mtime timestamp, mode int")
+    own = TOKENS | {"go": (*(bytes([i]) for i in range(256)), b"package box", b"func ", b"return err")}
+    for have, name in ((TOKENS, "text"), (own, "go")):
+        made = archives.encode_entries(df, have)
+        assert made.first().vocabulary == name
+        # Vocabularies that come later don't change how it is read.
+        got = archives.read_entries(archives.pack(made), "archive_id", own).first()
+        assert got.error is None and bytes(got.data) == go.encode()
+
+
 def test_listing_totals(spark):
     e = prepare(spark).createDataFrame([("z", "a", 100, 25), ("z", "b", 10, 40), ("y", "c", 0, 0)], "archive string, name string, size long, comp_size long")
     got = {(r.archive, r.name): (r.n, r.ratio) for r in archives.listing(e, "archive").collect()}
     assert got == {("z", "a"): (1, 75), ("z", "b"): (1, 0), ("z", None): (2, 41), ("y", "c"): (1, 0), ("y", None): (1, 0)}
 
 
+def test_archive_names(spark):
+    df = spark.createDataFrame([("a",), ("b.zip",), ("",)], "n string")
+    assert [r[0] for r in df.select(archives.archive_name(F.col("n"))).collect()] == ["a.zip", "b.zip", ".zip"]
+
+
 def test_fields():
     assert zf.parse_extra(zf.extra_fields(T0, 2)) == (T0, (1, 2, 0, 0))
     assert zf.parse_extra(bytes.fromhex("4E55010001")) == (None, (1, 1, 0, 0)) and zf.parse_extra(b"UT\x09") == (None, None)

@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 from blobloom.plans import grid, registry
@@ -14,3 +16,25 @@ def test_registered_grid_is_whole(spark, monkeypatch):
 
 def test_lines_fill_every_size(spark):
     assert grid.generate(spark, (2, 16)).where(F.octet_length("content") != F.col("size_kb") * 1024).count() == 0
+
+
+def test_sizes_filters_and_figures(spark):
+    df = spark.createDataFrame([("Code", 2, 1000, 500, 600), ("Data", 16, 2048, 9000, 9000)], "category string, size_kb int, original long, packed long, deflate_only long")
+    assert spark.range(1).select(grid.parsed_sizes(F.lit("64, 2,16"))).first()[0] == [2, 16, 64]
+    d = grid.derived(df)
+    assert [r.category for r in grid.filtered(d, "Code").collect()] == ["Code"] and [r.category for r in grid.filtered(d, size_kb=16).collect()] == ["Data"] and grid.filtered(d).count() == 2
+    got = {r.category: r for r in grid.formatted(d, "category").collect()}
+    assert (got["Code"].original_kb, got["Code"].packed_kb, got["Code"].positive, got["Code"].style) == ("1.0", "0.5", True, "code") and got["Data"].gain_pct == "1.3"
+
+
+def test_measures_are_real(spark):
+    tokens = {"text": (*(bytes([i]) for i in range(256)), b" the", b"ing ")}
+    made = grid.measure(grid.generate(spark, (2,)).where("kind in ('english', 'json')"), tokens).collect()
+    assert {r.kind for r in made} == {"english", "json"}
+    content = {r.kind: bytes(r.content) for r in grid.generate(spark, (2,)).collect()}
+    for r in made:
+        z = zlib.compressobj(9, zlib.DEFLATED, -15)
+        assert r.deflate_only == len(z.compress(content[r.kind]) + z.flush()) and r.original == 2048
+        assert r.packed - grid.CONTAINER <= min(r.deflate_only, r.original)
+    total = {(r.category, r.size_kb): (r.tests, r.wins) for r in grid.summary(grid.measure(grid.generate(spark, (2,)).where("kind in ('english', 'json')"), tokens)).collect()}
+    assert total[None, None] == (2, 2) and total[None, 2] == (2, 2) and total["prose", None] == (1, 1)

@@ -46,7 +46,7 @@ def test_types(spark):
 def test_labels_of_snippets(spark):
     got = whole(spark, {k: v.encode() for k, v in SNIPPETS.items()})
     assert {k: got[k].data_fmt for k in ("json", "toml", "ini", "yaml", "csv", "xml")} == {"json": "JSON", "toml": "TOML", "ini": "INI", "yaml": "YAML", "csv": "CSV", "xml": "XML"}
-    assert {k: got[k].markup for k in ("rst", "adoc", "org", "tex", "rtf")} == {"rst": "reStructuredText", "adoc": "AsciiDoc", "org": "Org", "tex": "LaTeX", "rtf": "RTF"}
+    assert {k: got[k].markup for k in ("rst", "adoc", "org", "tex", "rtf")} == {"rst": "reST", "adoc": "AsciiDoc", "org": "Org", "tex": "LaTeX", "rtf": "RTF"}
 
 
 NATURAL = {
@@ -102,3 +102,10 @@ def test_windowed_counts(spark):
 
 def test_sql_literals():
     assert rules.sql_text("a'b") == "'a''b'" and rules.sql_text("a\nb") == "('a' || chr(10) || 'b')" and rules.sql_text("") == "''"
+
+
+def test_label_numbers(spark):
+    df = prepare(spark).createDataFrame([(0,), (5,), (6,), (-1,), (99,)], "k int")
+    assert [r[0] for r in df.select(profile.label("type", F.col("k"))).collect()] == ["text", "random", "unknown", "unknown", "unknown"]
+    assert [r[0] for r in df.select(profile.label("markup", F.col("k"))).collect()] == ["None", "reST", "AsciiDoc", "Unknown", "Unknown"]
+    assert [len(v) for v in profile.LABELS.values()] == [6, 13, 7, 8, 15]

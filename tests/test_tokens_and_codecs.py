@@ -158,3 +158,56 @@ def test_method_choice(spark):
 def test_literals(spark):
     df = prepare(spark).createDataFrame([("\\ \" \n\r\t\x01ÿ a",)], "s string")
     assert df.select(vocabulary.escape_literal(F.col("s")).alias("e")).first().e == '\\\\ \\" \\n\\r\\t\\x01\\xff a'
+
+
+def slow_rans(data):
+    """One symbol after another, by the layout's definition."""
+    if not data:
+        return b"\0\0\0\0"
+    f = codecs.frequencies(np.bincount(np.frombuffer(data, np.uint8), minlength=256)).tolist()
+    x, out = 1 << 23, []
+    for s in reversed(data):
+        while x >= ((1 << 23 >> 14) << 8) * f[s]:
+            out.append(x & 255)
+            x >>= 8
+        x = (x // f[s] << 14) + x % f[s] + sum(f[:s])
+    return len(data).to_bytes(4, "little") + b"".join(v.to_bytes(2, "little") for v in f) + x.to_bytes(4, "little") + bytes(reversed(out))
+
+
+def test_range_coder_gives_these_bytes():
+    assert codecs.rans_encode(blobs()) == [slow_rans(b) for b in blobs()]
+    assert codecs.rans_encode([b"ab"])[0].hex()[-8:] == slow_rans(b"ab").hex()[-8:]
+
+
+def test_fixed_vectors():
+    assert zlib.decompress(codecs.deflate(b"abc" * 9), -15) == b"abc" * 9 and codecs.inflate(bytes.fromhex("4b4c4a06 00".replace(" ", ""))) == b"abc"
+    assert codecs.varints([0, 127, 128, 300, 16384]).hex() == "007f8001ac02808001" and codecs.read_varints(bytes.fromhex("007f8001ac02808001")) == [0, 127, 128, 300, 16384]
+
+
+def test_loading_ranks(spark):
+    lines = ["YQ== 5", "", "Yg==", "YWI= 7", "YQ== 2"]
+    df = prepare(spark).createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    assert {bytes(r.token): r["rank"] for r in vocabulary.load_tiktoken(df).collect()} == {b"a": 2, b"ab": 7}
+    for bad in ("YQ== 5 6", "YQ== x"):
+        with pytest.raises(Exception, match="invalid rank"):
+            vocabulary.load_tiktoken(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+@pytest.mark.parametrize("texts, merges", [([b"aaabbbaaabbb"], 5), ([b"the other then", b"there he is", b""], 30), ([], 3), ([b"abc"], 4), ([b"aaaaaaaab" * 9], 9), ([b"abab"], 0)])
+def test_local_training(texts, merges):
+    assert list(vocabulary.train_local(texts, merges)) == slow_train(texts, merges)
+
+
+def test_automaton_is_greedy_longest_match():
+    rng = random.Random(1)
+    for _ in range(60):
+        tokens = [bytes([i]) for i in range(256)] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(12)]
+        trie, data = vocabulary.Trie(tokens), bytes(rng.choice(b"abcd") for _ in range(50))
+        fast = trie.encode(data)
+        trie.fast = None
+        assert fast == trie.encode(data)
+
+
+def test_pairs_of_a_batch(spark):
+    df = prepare(spark).createDataFrame([("aaab",), ("ab",), ("b",), (None,), ("ÿ\x00",)], "z string")
+    assert {(r.pair, r.n) for r in vocabulary.pair_counts(df).collect()} == {("aa", 2), ("ab", 2), ("ÿ\x00", 1)}
