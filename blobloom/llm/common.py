@@ -44,20 +44,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir; one of our own only where that is unset and all
+    executors are threads of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="blobloom-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return f"file://{_own[0]}"
 
 
+_folders: set[str] = set()
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    """At the end of the application its tables go; a folder that can't be reached any more stays."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: computed once, and safe when executors are lost."""
+    """Write df as Parquet to the shared folder and read it again: computed once, and safe when executors are lost. What an
+    application has written is deleted when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/blobloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/blobloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

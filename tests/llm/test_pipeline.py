@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from blobloom.llm import packing, tokens
+from blobloom.llm import mixing, packing, tokens
 from blobloom.llm.common import prepare
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,9 +66,7 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in once.collect() if not bad(r.text)}
     assert {300, 301}.isdisjoint(r.doc_id for r in clean.collect())
     mixed = cp.mix(spark, clean, folder)
-    assert mixed.columns == table.columns
-    good = {i for i in range(0, 120, 2) if i % 5}
-    assert {r.doc_id for r in mixed.collect()} >= {r.doc_id for r in clean.collect()} & good or mixed.count() > 0
+    assert mixed.columns == table.columns and Counter(map(tuple, mixed.collect())) == slow_mix(spark, clean, folder)
     enc, got = tokens.encoder(tokens.default_path()), {}
     for row in cp.pack(spark, clean, folder).collect():
         for d, s, ids in packing.unpack(row):
@@ -74,6 +74,45 @@ def test_stages(spark, folder):
     assert {d: [i for s in sorted(x) for i in x[s]] for d, x in got.items()} == {r.doc_id: enc.encode_ordinary(text[r.doc_id]) for r in clean.collect()}
 
 
+def slow_mix(spark, docs, folder):
+    """Rows by copies: rates by plain projected gradient from the posteriors, rounded with each row's fraction."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    made = mixing.membership(docs, mixing.train(docs, labels)).selectExpr("doc", "n_tokens", "p", f"pmod(xxhash64(doc.doc_id, doc.text), {1 << 20}) / {float(1 << 20)} as chance").collect()
+    n, p = np.array([r.n_tokens for r in made], float), np.array([r.p for r in made])
+    target, rate = np.array([cp.KEEP[d] for d in mixing.DOMAINS]) * (n @ p), np.ones(len(n))
+    for _ in range(60_000):
+        e = ((rate * n) @ p - target) / n.sum()
+        rate = np.maximum(0, rate - (p @ e + mixing.RIDGE * (rate - 1)) / (1 + mixing.RIDGE))
+    # Far enough from the next whole number, so that the two ways to a rate round alike.
+    assert all(abs((x + r.chance) % 1 - 0.5) < 0.5 - 1e-4 for x, r in zip(rate, made))
+    return Counter({tuple(r.doc): int(x + r.chance) for x, r in zip(rate, made) if int(x + r.chance)})
+
+
+def test_toxic_documents_go(spark, tmp_path):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("aeioubcdfg") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(400):
+        w = [rng.choice(vocab) for _ in range(60)]
+        if i % 5 == 0:
+            for _ in range(6):
+                w[rng.randrange(60)] = "vequ" + rng.choice(["s", "ant", "o"])
+        docs.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 1, int(i % 5 == 0)))
+    spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r.doc_id for r in cp.mix(prepare(spark), spark.createDataFrame(docs, COLUMNS), str(tmp_path)).collect()]
+    assert len([i for i in kept if i % 5 == 0]) < 8 and {i for i in range(400) if i % 5} - set(kept) == set()
+
+
+def test_columns_of_any_name(spark, folder):
+    table = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id as n_words", "text as hits", "lang as lang_pred", "1 as p", "2 as doc", "3 as copies", "4 as component_id")
+    docs = table
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == table.columns
+    assert docs.where("doc != 2 or p != 1 or copies != 3 or component_id != 4 or n_words != doc_id").count() == 0 < docs.count()
+
+
 def test_repeated_rows_and_null_ids(spark, folder):
     rows = [(1, "a b c d e f g h", "en", "s", 1), (1, "a b c d e f g h", "en", "s", 1), (1, "other words are here now", "en", "s", 1), (None, "p q r s t u", "en", "s", 1), (2, None, "en", "s", 0), (2, None, "en", "s", 0)]
     got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), folder).collect()
