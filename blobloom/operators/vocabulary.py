@@ -128,6 +128,18 @@ def encoder(tokens: tuple[bytes, ...]):
     return encode
 
 
+def register(spark: SparkSession, tokens: tuple[bytes, ...], name: str = "bpe_tokens") -> None:
+    """A table function: bpe_tokens(content) gives (place, id, token) of greedy longest match."""
+
+    @F.udtf(returnType="place int, id int, token binary")
+    class BpeTokens:
+        def eval(self, content: bytes):
+            for k, i in enumerate(trie_of(tokens).encode(bytes(content or b""))):
+                yield k, i, tokens[i]
+
+    spark.udtf.register(name, BpeTokens)
+
+
 def encode_regex(l1: Column, tokens: tuple[bytes, ...]) -> Column:
     """The pieces that greedy longest match cuts a Latin-1 view into, as built-in regex extraction; for small vocabularies."""
     texts = sorted((t.decode("latin-1") for t in tokens), key=lambda t: (-len(t), t))

@@ -98,7 +98,8 @@ def filtered(measured: DataFrame, category: str = "", size_kb: int | None = None
 def formatted(measured: DataFrame, *keep: str) -> DataFrame:
     """The figures of a report as it prints them: percent and kilobytes with one decimal, whether there is a gain, and the
     category's style name."""
-    kb = lambda x: F.format_string("%.1f", F.col(x) / 1024)
+    # Kilobytes are exact in binary, so their ties are ties: they go to the even digit.
+    kb = lambda x: F.format_string("%.1f", F.bround(F.col(x) / 1024, 1))
     return measured.select(*keep, F.format_string("%.1f", "gain").alias("gain_pct"), kb("original").alias("original_kb"), kb("packed").alias("packed_kb"), (F.col("gain") > 0).alias("positive"), F.lower("category").alias("style"))
 
 

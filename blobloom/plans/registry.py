@@ -250,6 +250,8 @@ def tiktoken_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEW = ["the ", "the", "and ", " of ", "ing", "tion", "er", "en", "he", " de "]
+FEW += "th in re on an at nd st es ou ea hat ent ion for wh sh ed ly ble erth que eau ai ou le la les de des du une qu ment ieux os as con que el los una ción do ra sch und ein ich der die das ge ver ung be te".split()
+FEW = list(dict.fromkeys(FEW))
 _few = tuple(bytes([i]) for i in range(256)) + tuple(w.encode() for w in FEW)
 _few_regex = "|".join(sorted(FEW, key=lambda w: (-len(w), w)))
 _pieces_sql = f"WITH p AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?s){_few_regex}|.')) AS piece FROM documents)"

@@ -32,10 +32,18 @@ def _column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
+def located(path: str):
+    """(file system, path) of a path or URI on any file system that Arrow knows."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 class ZipDirectory(DataSource):
-    """spark.read.format("zipdir").load(path or glob): the entries of local archives; option mode: permissive or failfast.
+    """spark.read.format("zipdir").load(path or glob): the entries of archives; option mode: permissive or failfast.
 
-    One partition for each file. The reader seeks to the directory at the end, so a listing reads no entry's bytes."""
+    The path may be a URI of a shared file system. One partition for each file. The reader seeks to the directory at the end,
+    so a listing reads no entry's bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -53,23 +61,29 @@ class _ZipReader(DataSourceReader):
         self.path, self.strict = options["path"], options.get("mode", "permissive").lower() == "failfast"
 
     def partitions(self) -> list[InputPartition]:
-        import glob
+        import pyarrow.fs as fs
 
-        root = self.path.removeprefix("file://")
-        found = [os.path.join(d, f) for d, _, files in os.walk(root) for f in files] if os.path.isdir(root) else glob.glob(root)
+        where, root = located(self.path)
+        kind = where.get_file_info([root])[0].type
+        if kind == fs.FileType.Directory:
+            found = [x.path for x in where.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file]
+        elif kind == fs.FileType.File:
+            found = [root]
+        else:
+            # A glob: everything below the folder that its fixed part names.
+            parts = root.split("/")
+            fixed = "/".join(parts[: next((i for i, x in enumerate(parts) if any(c in x for c in "*?[")), len(parts))])
+            wanted = re.compile(glob_regex(root) or "(?!)")
+            found = [x.path for x in where.get_file_info(fs.FileSelector(fixed or "/", allow_not_found=True, recursive=True)) if x.is_file and wanted.search(x.path)]
         return [InputPartition(p) for p in sorted(found)] or [InputPartition("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.value:
             return
-        with open(partition.value, "rb") as f:
-
-            def piece(at: int, n: int) -> bytes:
-                f.seek(at)
-                return f.read(n)
-
+        where, _ = located(self.path)
+        with where.open_input_file(partition.value) as f:
             try:
-                for e in zf.scan(os.path.getsize(partition.value), piece):
+                for e in zf.scan(f.size(), lambda at, n: f.read_at(n, at)):
                     v = e["vocab"]
                     yield (partition.value, *(e[k] for k in ("ordinal", "name", "size", "comp_size", "method", "crc32", "mtime", "mode", "offset")), tuple(v.values()) if v else None, e["truncated"], None)
             except zf.Invalid as e:
@@ -250,26 +264,32 @@ def extract(entries: DataFrame, folder: str, policy: str = "error", flat: bool =
     """Write decoded entries (name, data, error) below a folder; (name, target, status) of each.
 
     policy: overwrite, skip or error for files that exist. flat drops the folders of names. Names that would leave the folder
-    are rejected."""
+    are rejected. folder may be a URI of a file system that all executors share; a file appears under its name when complete."""
     if policy not in ("overwrite", "skip", "error"):
         raise ValueError(policy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+        from pyspark import TaskContext
+
+        where, root = located(folder)
+        attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
         for b in batches:
             out = []
             for name, data, problem in zip(*(_column(b, c).to_pylist() for c in ("name", "data", "error"))):
                 short = name.rsplit("/", 1)[-1] if flat else name
-                target = os.path.join(folder, short)
+                target = f"{root.rstrip('/')}/{short}"
                 if problem is not None or data is None:
                     out.append((name, target, problem or "no data"))
                 elif not zf.safe_name(short):
                     out.append((name, target, "unsafe name"))
-                elif os.path.exists(target) and policy != "overwrite":
+                elif policy != "overwrite" and where.get_file_info([target])[0].type != fs.FileType.NotFound:
                     out.append((name, target, "skipped" if policy == "skip" else "exists"))
                 else:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    with open(target, "wb") as f:
+                    where.create_dir(target.rpartition("/")[0], recursive=True)
+                    with where.open_output_stream(f"{target}.{attempt}.part") as f:
                         f.write(data)
+                    where.move(f"{target}.{attempt}.part", target)
                     out.append((name, target, "written"))
             n, t, s = zip(*out) if out else ((),) * 3
             yield pa.record_batch([pa.array(n, pa.string()), pa.array(t, pa.string()), pa.array(s, pa.string())], ["name", "target", "status"])

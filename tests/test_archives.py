@@ -77,6 +77,8 @@ def test_source_files_and_extraction(spark, tmp_path):
     archives.register(spark)
     rows = spark.read.format("zipdir").load(f"{tmp_path}/zips")
     assert rows.where("error is null").count() == 12 and rows.where("error is not null").count() == 1
+    for path, n in ((f"file://{tmp_path}/zips", 12), (f"{tmp_path}/zips/t*.zip", 5), (f"file://{tmp_path}/*/one.zip", 7), (f"{tmp_path}/zips/two.zip", 5), (f"{tmp_path}/none/*.zip", 0)):
+        assert spark.read.format("zipdir").load(path).where("error is null").count() == n
     data = spark.read.format("binaryFile").load(f"{tmp_path}/zips/two.zip")
     data.createOrReplaceTempView("z")
     assert spark.sql("SELECT e.name FROM z, LATERAL zip_entries(content) e").count() == 5
@@ -84,6 +86,8 @@ def test_source_files_and_extraction(spark, tmp_path):
     first = archives.extract(out, str(tmp_path / "out")).collect()
     assert {r.status for r in first} == {"written"} and (tmp_path / "out/dir/b.bin").read_bytes() == FILES["dir/b.bin"]
     assert {r.status for r in archives.extract(out, str(tmp_path / "out"), "skip").collect()} == {"skipped"}
+    assert {r.status for r in archives.extract(out, f"file://{tmp_path}/out", flat=True).where("name not like '%/%'").collect()} == {"exists"}
+    assert {r.status for r in archives.extract(out, f"file://{tmp_path}/out", "overwrite").collect()} == {"written"} and not [f for f in os.listdir(tmp_path / "out") if f.endswith(".part")]
     evil = spark.createDataFrame([("../x", bytearray(b"1"), None), ("/abs", bytearray(b"1"), None), ("ok", None, "broken")], "name string, data binary, error string")
     assert {r.name: r.status for r in archives.extract(evil, str(tmp_path / "out")).collect()} == {"../x": "unsafe name", "/abs": "unsafe name", "ok": "broken"}
 

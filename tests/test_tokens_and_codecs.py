@@ -211,3 +211,9 @@ def test_automaton_is_greedy_longest_match():
 def test_pairs_of_a_batch(spark):
     df = prepare(spark).createDataFrame([("aaab",), ("ab",), ("b",), (None,), ("ÿ\x00",)], "z string")
     assert {(r.pair, r.n) for r in vocabulary.pair_counts(df).collect()} == {("aa", 2), ("ab", 2), ("ÿ\x00", 1)}
+
+
+def test_tokens_table_function(spark):
+    vocabulary.register(prepare(spark), SOME)
+    got = spark.sql("SELECT place, id, token FROM bpe_tokens(CAST('the thing' AS BINARY))").orderBy("place").collect()
+    assert [r.id for r in got] == vocabulary.trie_of(SOME).encode(b"the thing") and b"".join(bytes(r.token) for r in got) == b"the thing"
