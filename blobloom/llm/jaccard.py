@@ -71,8 +71,8 @@ U64 = np.uint64
 #: Entries of the broadcast order table at most (12 bytes each).
 ORDER_SIZE = 1 << 20
 #: Sets of one fragment of a hot key, and of one list in a task at most.
-FRAGMENT = 4096
-LONG = 4 * FRAGMENT
+FRAGMENT = 2048
+LONG = 3 * FRAGMENT
 #: Shingles for each bucket of postings; some two thirds of them are posted.
 PER_BUCKET = 1_500_000
 #: Expected number of documents up to which a shingle is light.
