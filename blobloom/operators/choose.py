@@ -110,3 +110,16 @@ def restore(df: DataFrame, keep: list[str], vocabularies: dict[str, tuple[bytes,
     from pyspark.sql import types as T
 
     return df.mapInArrow(run, T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL("content binary, error string").fields))
+
+
+class Compressor:
+    """Vocabularies together with what they are for; without any, single bytes are the text vocabulary."""
+
+    def __init__(self, vocabularies: dict[str, tuple[bytes, ...]] | None = None):
+        self.vocabularies = {"text": tuple(bytes([i]) for i in range(256))} | (vocabularies or {})
+
+    def compress(self, df: DataFrame, content: str, keep: list[str], method: int | None = None) -> DataFrame:
+        return compress(df, content, keep, self.vocabularies, method)
+
+    def decompress(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        return restore(df, keep, self.vocabularies)

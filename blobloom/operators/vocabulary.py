@@ -286,3 +286,19 @@ def escape_literal(l1: Column) -> Column:
     chars = F.filter(F.split(l1, ""), lambda c: c != "")
     esc = lambda c: F.when(c == "\\", "\\\\").when(c == '"', '\\"').when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c.between(" ", "~"), c).otherwise(F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0"))))
     return F.array_join(F.transform(chars, esc), "")
+
+
+def literals(vocab: DataFrame) -> DataFrame:
+    """(rank, line): a vocabulary's tokens by rank as lines of a map literal of a source file, `"token": rank,`."""
+    return vocab.select("rank", F.concat(F.lit('"'), escape_literal(latin1(F.col("token"))), F.lit('": '), F.col("rank").cast("string"), F.lit(",")).alias("line"))
+
+
+def write_source(vocab: DataFrame, path: str, name: str = "tokens") -> None:
+    """The whole literal, as one text file, in order of rank. A vocabulary is bounded, so it fits a task."""
+    spark = vocab.sparkSession
+    size = vocab.count()
+    if size > MAX_TOKENS:
+        raise ValueError(f"a vocabulary holds at most {MAX_TOKENS} tokens")
+    frame = spark.createDataFrame([(-1 << 40, f"{name} = {{"), (1 << 40, "}")], "rank long, line string")
+    lines = literals(vocab).select(F.col("rank").cast("long").alias("rank"), F.concat(F.lit("    "), "line").alias("line")).unionByName(frame)
+    lines.coalesce(1).sortWithinPartitions("rank", "line").select("line").write.mode("overwrite").text(path)

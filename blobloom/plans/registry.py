@@ -249,6 +249,14 @@ def tiktoken_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.load_tiktoken(extra.unionByName(early).unionByName(lines)).select(c("token").cast("string").alias("token"), "rank")
 
 
+_escape_sql = "[CASE b WHEN 92 THEN chr(92) || chr(92) WHEN 34 THEN chr(92) || chr(34) WHEN 10 THEN chr(92) || 'n' WHEN 13 THEN chr(92) || 'r' WHEN 9 THEN chr(92) || 't' ELSE CASE WHEN b BETWEEN 32 AND 126 THEN chr(b::INT) ELSE chr(92) || 'x' || lower(format('{:02X}', b)) END END FOR b IN bs]"
+
+
+@query("WITH " + _words_sql + f", x AS (SELECT token, rank, hex(encode(token)) AS h FROM v), y AS (SELECT rank, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)] AS bs FROM x) SELECT rank, chr(34) || array_to_string({_escape_sql}, '') || chr(34) || ': ' || rank || ',' AS line FROM y")
+def vocab_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.literals(_word_ranks(spark, sf_dir).select(bytesx.as_bytes(c("token")).alias("token"), "rank"))
+
+
 FEW = ["the ", "the", "and ", " of ", "ing", "tion", "er", "en", "he", " de "]
 FEW += "th in re on an at nd st es ou ea hat ent ion for wh sh ed ly ble erth que eau ai ou le la les de des du une qu ment ieux os as con que el los una ción do ra sch und ein ich der die das ge ver ung be te".split()
 FEW = list(dict.fromkeys(FEW))
@@ -486,6 +494,13 @@ def zip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.test_archives(made, "archive_id", vocab)
 
 
+@query("SELECT event_id AS archive_id, event_type || '.json' AS name, octet_length(encode(props))::BIGINT AS size, props AS text FROM events")
+def single_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = _vocabularies(spark, sf_dir)
+    made = archives.single(read(spark, sf_dir, "events"), "event_id", F.concat("event_type", F.lit(".json")), bytesx.as_bytes(c("props")), vocab)
+    return archives.read_entries(made, "archive_id", vocab).select("archive_id", "name", F.octet_length("data").cast("long").alias("size"), c("data").cast("string").alias("text"))
+
+
 @query("SELECT conv_id AS archive_id, format('turns/{:04d}-{}.txt', turn, role) AS name, text FROM conversations WHERE role = 'assistant'")
 def zip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, vocab = _archives(spark, sf_dir)

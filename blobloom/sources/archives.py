@@ -225,6 +225,12 @@ def pack(encoded: DataFrame) -> DataFrame:
     return _sorted(encoded).mapInArrow(run, T.StructType([key, T.StructField("content", T.BinaryType())]))
 
 
+def single(rows: DataFrame, key: str, name: Column, content: Column, vocabularies: Vocabularies, mtime: Column | None = None) -> DataFrame:
+    """(archive_id, content): an archive of one entry for each row."""
+    when = F.lit(None).cast("timestamp") if mtime is None else mtime
+    return pack(encode_entries(rows.select(F.col(key).alias("archive_id"), F.lit(0).alias("ordinal"), name.alias("name"), F.lit("file").alias("kind"), content.alias("content"), F.lit(None).cast("string").alias("link_target"), when.alias("mtime"), F.lit(0o644).alias("mode")), vocabularies))
+
+
 def _arrow(field: T.StructField) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -217,3 +217,18 @@ def test_tokens_table_function(spark):
     vocabulary.register(prepare(spark), SOME)
     got = spark.sql("SELECT place, id, token FROM bpe_tokens(CAST('the thing' AS BINARY))").orderBy("place").collect()
     assert [r.id for r in got] == vocabulary.trie_of(SOME).encode(b"the thing") and b"".join(bytes(r.token) for r in got) == b"the thing"
+
+
+def test_source_of_a_vocabulary(spark, tmp_path):
+    df = prepare(spark).createDataFrame([(bytearray(t), i) for i, t in enumerate([b"a", b'"\\', b"\n\xff"])], "token binary, rank int")
+    vocabulary.write_source(df, f"{tmp_path}/v", "mine")
+    text = "".join(p.read_text() for p in sorted(tmp_path.glob("v/part-*")))
+    assert text == 'mine = {\n    "a": 0,\n    "\\"\\\\": 1,\n    "\\n\\xff": 2,\n}\n'
+
+
+def test_compressor(spark):
+    df = prepare(spark).createDataFrame([(1, bytearray(b"the thing " * 30)), (2, None)], "id int, b binary")
+    for engine in (choose.Compressor(), choose.Compressor({"text": SOME})):
+        for method in (None, codecs.RANS_TOKENS, codecs.DEFLATE_TOKENS):
+            back = engine.decompress(engine.compress(df, "b", ["id"], method), ["id"]).collect()
+            assert {r.id: (bytes(r.content), r.error) for r in back} == {1: (b"the thing " * 30, None), 2: (b"", None)}
