@@ -52,7 +52,7 @@ BLOCK = 4096
 #: Characters that are parsed at a time, and blocks that advance in step.
 CHARS, STEP = 1 << 21, 1024
 #: Of the letters a phrase that held-back pieces have at the least.
-MARGIN = 0.8
+MARGIN = 0.7
 UNKNOWN = "und"
 
 
