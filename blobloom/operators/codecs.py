@@ -66,6 +66,10 @@ def read_varints(data: bytes) -> list[int]:
     return [*out, value] if open_ else out
 
 
+#: Blobs that are coded in step at least; fewer are coded one after another.
+FEW = 24
+
+
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to SCALE: floors, at least 1 for what occurs, the difference to the first of the largest.
 
@@ -97,8 +101,9 @@ def rans_encode(blobs: list[bytes]) -> list[bytes]:
     written = np.zeros((2 * int(size[0]) + 8, m), np.uint8)
     used = np.zeros(m, np.int64)
     count = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
+    alone = int(np.searchsorted(-count, -FEW, "right"))
     row = np.arange(m)
-    for k, n in enumerate(count.tolist()):
+    for k, n in enumerate(count[:alone].tolist()):
         s = grid[k, :n]
         x, r = state[:n], row[:n]
         f = freq[r, s]
@@ -108,6 +113,20 @@ def rans_encode(blobs: list[bytes]) -> list[bytes]:
             used[big] += 1
             x[big] >>= 8
         state[:n] = ((x // f) << SCALE_BITS) + x % f + cum[r, s]
+    # Of the few longest what is left, one blob after another.
+    for j in np.flatnonzero(size > alone).tolist():
+        x, rest = int(state[j]), bytearray()
+        f, c = freq[j].tolist(), cum[j].tolist()
+        for s in grid[alone : size[j], j].tolist():
+            n = f[s]
+            top = ((LOWER >> SCALE_BITS) << 8) * n
+            while x >= top:
+                rest.append(x & 255)
+                x >>= 8
+            x = (x // n << SCALE_BITS) + x % n + c[s]
+        written[used[j] : used[j] + len(rest), j] = rest
+        used[j] += len(rest)
+        state[j] = x
     for j, i in enumerate(live):
         out[i] = struct.pack("<I", int(size[j])) + freq[j].astype("<u2").tobytes() + struct.pack("<I", int(state[j])) + written[: used[j], j][::-1].tobytes()
     return out
@@ -139,7 +158,9 @@ def rans_decode(blobs: list[bytes]) -> list[bytes]:
     at = np.full(m, 520, np.int64)
     grid = np.zeros((int(size[0]), m), np.uint8)
     row = np.arange(m)
-    for k, n in enumerate(np.searchsorted(-size, -np.arange(1, size[0] + 1), "right").tolist()):
+    count = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
+    alone = int(np.searchsorted(-count, -FEW, "right"))
+    for k, n in enumerate(count[:alone].tolist()):
         x, r = state[:n], row[:n]
         slot = x & (SCALE - 1)
         s = symbol[r, slot]
@@ -149,6 +170,19 @@ def rans_decode(blobs: list[bytes]) -> list[bytes]:
             x[low] = x[low] << 8 | flat[base[low] + at[low]]
             at[low] += 1
         state[:n] = x
+    for j in np.flatnonzero(size > alone).tolist():
+        x, p, b, last = int(state[j]), int(at[j]), blobs[live[j][1]], int(end[j])
+        f, c, names, rest = freq[j].tolist(), cum[j].tolist(), symbol[j].tolist(), bytearray()
+        for _ in range(int(size[j]) - alone):
+            slot = x & (SCALE - 1)
+            s = names[slot]
+            rest.append(s)
+            x = f[s] * (x >> SCALE_BITS) + slot - c[s]
+            while x < LOWER and p < last:
+                x = x << 8 | b[p]
+                p += 1
+        grid[alone : size[j], j] = rest
+        state[j], at[j] = x, p
     if (state != LOWER).any() or (at != end).any():
         raise Damaged("the state doesn't end where it began")
     for j, (n, i) in enumerate(live):
