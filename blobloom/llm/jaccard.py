@@ -86,8 +86,8 @@ ENOUGH = 1 << 20
 NO_HEAD = U64((2**32 - 1) << 32)
 #: Shingles whose repeats a map task counts at a time, and postings that it gathers before it sends them.
 SURVEY, FLUSH = 5_000_000, 2_000_000
-#: Pairs that a reduce task makes before it merges them.
-PAIRS = 400_000
+#: Pairs that a reduce task makes before it merges them, and pairs of one key that are verified in one task on average.
+PAIRS, VERIFY = 400_000, 400_000
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -405,18 +405,19 @@ def _candidates(parts: int, most: int) -> Callable:
         lo, hi = np.minimum(uniq[a], uniq[b]), np.maximum(uniq[a], uniq[b])
         release()
         group = (np.int64(bucket) << np.int64(32)) | where.astype(np.int64)
-        out = pa.table({"a": lo, "b": hi, "grp": group, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
+        _, of, each = np.unique(where, return_inverse=True, return_counts=True)
+        out = pa.table({"a": lo, "b": hi, "grp": group, "split": 1 + each[of] // VERIFY, "shared": np.where(one, ENOUGH, shared), "need": evidence(np.minimum(n[a], n[b])).astype(np.int64)})
         rows = []
         for where, members in lists:
             r = -(-len(members) // max(1, most // 4))
             rows += [{"a": i, "b": r, "grp": bucket << 32 | where, "ids": uniq[members[i::r]].tobytes(), "sizes": n[members[i::r]].astype(np.uint32).tobytes()} for i in range(r)]
         long = pa.Table.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())]))
-        return pa.concat_tables([out, long], promote_options="default").select(["a", "b", "grp", "shared", "need", "ids", "sizes"])
+        return pa.concat_tables([out, long], promote_options="default").select(["a", "b", "grp", "split", "shared", "need", "ids", "sizes"])
 
     return run
 
 
-_FOUND = "a long, b long, grp long, shared long, need long, ids binary, sizes binary"
+_FOUND = "a long, b long, grp long, split long, shared long, need long, ids binary, sizes binary"
 
 
 def _fragments(key: tuple, table: pa.Table) -> pa.Table:
@@ -432,7 +433,7 @@ def _fragments(key: tuple, table: pa.Table) -> pa.Table:
         hi.append(np.maximum(x[i], other))
         need.append(evidence(np.minimum(n[i], m[s:][ok])))
     lo, hi, need = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (lo, hi, need))
-    return pa.table({"a": lo, "b": hi, "grp": np.full(len(lo), key[0].as_py()), "shared": np.full(len(lo), ENOUGH), "need": need.astype(np.int64)})
+    return pa.table({"a": lo, "b": hi, "grp": np.full(len(lo), key[0].as_py()), "split": np.full(len(lo), 1 + len(lo) // VERIFY), "shared": np.full(len(lo), ENOUGH), "need": need.astype(np.int64)})
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,9 +502,10 @@ def links(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     # Each fragment of a long list goes to all pairs of fragments that it is in.
     cut = found.where("ids is not null")
     twos = cut.select("grp", "ids", "sizes", F.col("a").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("j"))
-    more = twos.groupBy("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).applyInArrow(_fragments, "a long, b long, grp long, shared long, need long")
-    found = found.where("ids is null").select("a", "b", "grp", "shared", "need").unionByName(more)
-    pairs = written(found.groupBy("a", "b").agg(F.min("grp").alias("grp"), F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b", F.pmod(F.xxhash64("grp"), F.lit(4 * parts)).cast("int").alias("task")), "candidates")
+    more = twos.groupBy("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).applyInArrow(_fragments, "a long, b long, grp long, split long, shared long, need long")
+    found = found.where("ids is null").select("a", "b", "grp", "split", "shared", "need").unionByName(more)
+    # A pair is verified with others of a key that both sets hold, or with a share of them if they are many.
+    pairs = written(found.groupBy("a", "b").agg(F.min(F.struct("grp", "split")).alias("at"), F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b", F.pmod(F.xxhash64("at.grp", F.pmod("a", "at.split")), F.lit(4 * parts)).cast("int").alias("task")), "candidates")
     needed = pairs.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
     # One document stands for each class; only the texts of these move.
     rep = classes.join(needed.select("id").distinct(), "id", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
