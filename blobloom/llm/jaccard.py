@@ -544,4 +544,7 @@ def near_duplicates(docs: DataFrame, long: int = LONG) -> DataFrame:
     degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
     full = named.withColumn("label", label).join(root, "label", "left").join(degree, "digest", "left")
     table = full.select("digest", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "class_id").alias("component_id"))
-    return classes.join(table, "digest", "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    found = classes.where("n_shingles > 0").join(table, "digest").select("doc_id", "n_shingles", "n_similar", "component_id", "class_id")
+    # Empty sets have one digest and nothing to look up, so they don't meet in one task.
+    alone = classes.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return found.unionByName(alone)
