@@ -29,7 +29,9 @@ Labels: rows with a null id, quality or toxic are left out; if a document has
 several, the lowest quality and the highest toxic count. Without any label every
 document is ``good``. Null or empty text: 0 tokens, its posterior is that of the
 features of an empty text, and it has the rate of that posterior. ``copies`` rounds
-the rate with the fraction of a hash of id and text, so equal rows round alike.
+the rate: to the whole number within ``SNAP`` of it, so that documents which are nearly
+certain to be of a domain share its fate, and else with the fraction of a hash of id and
+text; equal rows round alike.
 Rows repeat as they come; an empty table gives no rows; other columns pass through, whatever
 their names.
 """
@@ -52,8 +54,10 @@ BITS = 16
 FORMS = 8
 #: The value of a feature that occurs.
 PRESENT = np.float32(0.3)
+SIGNAL = 4
 RIDGE = 0.002
 TOLERANCE = 1e-6
+SNAP = 0.15
 ROUNDS = 50
 #: Gradient steps of the classifier at least.
 STEPS = 1500
@@ -104,14 +108,21 @@ class Classifier:
         self.scale = np.ones(FORMS, np.float32)
 
     def fit(self, places: list[np.ndarray], forms: np.ndarray, y: np.ndarray, epochs: int = 10, least: int = STEPS, rate: float = 0.1, decay: float = 3e-4) -> None:
-        """AdaGrad on mini-batches; only features of 5 or more documents are learned."""
+        """AdaGrad on mini-batches. Learned are features of 5 or more documents that occur in a domain's documents more often or
+        less often than chance explains (by ``SIGNAL`` standard deviations); the others would add noise by the hundred."""
         if not len(y):
             self.w[-1, 0] = 20.0
             return
         self.scale = (1 / np.maximum(forms.std(0), 1e-3)).astype(np.float32)
         df = np.bincount(np.concatenate(places), minlength=1 << BITS)
+        part = np.bincount(y, minlength=len(DOMAINS)) / len(y)
+        told = np.zeros(1 << BITS, bool)
+        for k in range(len(DOMAINS)):
+            own = np.bincount(np.concatenate([np.zeros(0, np.int32), *(p for p, v in zip(places, y) if v == k)]), minlength=1 << BITS)
+            told |= np.abs(own - df * part[k]) > SIGNAL * np.sqrt(np.maximum(df * part[k] * (1 - part[k]), 1e-9))
+        told &= df > 4
         rng, square = np.random.default_rng(5), np.full_like(self.w, 1e-4)
-        rows = [np.concatenate([p[df[p] > 4], (1 << BITS) + np.arange(FORMS)]) for p in places]
+        rows = [np.concatenate([p[told[p]], (1 << BITS) + np.arange(FORMS)]) for p in places]
         values = [np.concatenate([np.full(len(r) - FORMS, PRESENT, np.float32), f * self.scale]).astype(np.float32) for r, f in zip(rows, forms)]
         for _ in range(max(epochs, -(-least * 32 // len(y)))):
             order = rng.permutation(len(y))
@@ -224,7 +235,8 @@ def with_rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float], kee
     members = written(membership(docs, train(docs, labels)).select(F.struct(*(F.col("doc")[c].alias(c) for c in keep)).alias("doc"), "n_tokens", "p", chance.alias("chance")), "membership")
     errors, _, _ = fit(members.select("p", "n_tokens"), shares, relative, ridge)
     x = rate(errors, ridge)
-    return members.select("doc", "n_tokens", "p", x.alias("rate"), F.floor(x + F.col("chance")).cast("int").alias("copies"))
+    copies = F.when(F.abs(x - F.round(x)) <= SNAP, F.round(x)).otherwise(F.floor(x + F.col("chance"))).cast("int")
+    return members.select("doc", "n_tokens", "p", x.alias("rate"), copies.alias("copies"))
 
 
 #: Production targets of op10, as parts of all tokens: all good ones and a little more, half of the poor, nearly nothing toxic.
