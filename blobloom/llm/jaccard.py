@@ -85,7 +85,7 @@ HEADS = 2
 ENOUGH = 1 << 20
 NO_HEAD = U64((2**32 - 1) << 32)
 #: Shingles whose repeats a map task counts at a time, and postings that it gathers before it sends them.
-SURVEY, FLUSH = 5_000_000, 2_000_000
+SURVEY, FLUSH = 5_000_000, 1_000_000
 #: Pairs that a reduce task makes before it merges them, and pairs of one key that are verified in one task on average.
 PAIRS, VERIFY = 400_000, 400_000
 
@@ -115,7 +115,7 @@ class Table:
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         o = np.argsort(key)
-        self.key, self.n = key[o], n[o]
+        self.key, self.n = key[o], n[o].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)
         self.filter = tv.lookup_filter(self.key)
 
     def of(self, h: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ class Table:
         if not len(self.key):
             return np.zeros(len(h), np.int64)
         at = tv.lookup(self.key, h, self.filter)
-        return np.where(at >= 0, self.n[at], 0)
+        return np.where(at >= 0, self.n[at], 0).astype(np.int64)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: Table | None = None, seen: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -171,8 +171,9 @@ NAMES = ["doc_id", "n_shingles", "digest", "id", "bucket", "keys", "counts"]
 
 def _repeats(held: list[np.ndarray], parts: int, offset: int) -> pa.RecordBatch | None:
     """Counts of the hashes that occur more than once, by bucket."""
-    x = np.sort(np.concatenate(held))
+    x = np.concatenate(held)
     held.clear()
+    x.sort()
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([at, [len(x)]]))
     key, n = x[at][n > 1], n[n > 1].astype(np.uint32)

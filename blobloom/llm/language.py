@@ -50,7 +50,7 @@ DENSE = 64
 RARE, NONE = DENSE - 2, DENSE - 1
 BLOCK = 4096
 #: Characters that are parsed at a time, and blocks that advance in step.
-CHARS, STEP = 1 << 21, 1024
+CHARS, STEP = 1 << 20, 512
 #: Of the letters a phrase that held-back pieces have at the least.
 MARGIN = 0.7
 UNKNOWN = "und"
@@ -335,12 +335,11 @@ def train(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc (the whole row), lang_pred, score, phrases (of the predicted language), letters, and foreign: in no learned language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+    # The model goes with the function: what is broadcast would stay with the workers after the stage.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, score, phrases, letters = shared.value.predict([t or "" for t in text_of(b).to_pylist()])
-            yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.int64()), pa.array(letters, pa.int64()), pa.array(shared.value.foreign(letters, phrases))], ["doc", "lang_pred", "score", "phrases", "letters", "foreign"])
+            pred, score, phrases, letters = model.predict([t or "" for t in text_of(b).to_pylist()])
+            yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.int64()), pa.array(letters, pa.int64()), pa.array(model.foreign(letters, phrases))], ["doc", "lang_pred", "score", "phrases", "letters", "foreign"])
 
     return whole(docs).mapInArrow(lean(run), added(docs, "lang_pred string, score double, phrases long, letters long, foreign boolean"))
 
