@@ -227,19 +227,21 @@ def search(postings: DataFrame, w: Windows) -> DataFrame:
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc (the whole row), n_words, n_hit, n_items and sha (of the sorted items)."""
     n, block = blocks(items, limit)
+    kinds = added(docs, "n_words long, n_hit long, n_items long, sha string")
     if n == 1:
         w = Windows(block(0), width)
-        out = search(index(docs, w.vocabulary), w)
-    else:
-        stored = written(index(docs).withColumn("row", F.monotonically_increasing_id()), "positions")
-        found = None
-        for k in range(n):
-            some = written(stored.select("row", "n_words", "terms", "at").mapInArrow(lean(_search_stored(Windows(block(k), width))), "row long, hits binary, items array<string>"), "hits")
-            found = some if found is None else found.unionByName(some)
-        # Spans and items of a row from all blocks; hits are joined in any order, they are intervals.
-        each = found.groupBy("row").agg(F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        out = stored.select("row", "doc", "n_words").join(each, "row", "left").select("doc", "n_words", "hits", "items")
-    return out.mapInArrow(lean(_finish), added(docs, "n_words long, n_hit long, n_items long, sha string"))
+        # index(), search() and what follows, in one pass of one worker.
+        made, looked_up = _index(w.vocabulary), _search(w)
+        return whole(docs).mapInArrow(lean(lambda batches: _finish(looked_up(made(batches)))), kinds)
+    stored = written(index(docs).withColumn("row", F.monotonically_increasing_id()), "positions")
+    found = None
+    for k in range(n):
+        some = written(stored.select("row", "n_words", "terms", "at").mapInArrow(lean(_search_stored(Windows(block(k), width))), "row long, hits binary, items array<string>"), "hits")
+        found = some if found is None else found.unionByName(some)
+    # Spans and items of a row from all blocks; hits are joined in any order, they are intervals.
+    each = found.groupBy("row").agg(F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = stored.select("row", "doc", "n_words").join(each, "row", "left").select("doc", "n_words", "hits", "items")
+    return out.mapInArrow(lean(_finish), kinds)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
