@@ -24,6 +24,8 @@ except ImportError:
     ahocorasick = None
 
 MAX_TOKENS = 200_000
+#: Bytes of content up to which training runs on the driver: hundreds of passes over so little would be nothing but overhead.
+LOCAL_BYTES = 256 << 10
 
 
 def renumber(vocab: DataFrame) -> DataFrame:
@@ -213,15 +215,19 @@ def _settled(top: list[tuple[str, int]], complete: bool) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, content: Column, merges: int, cut_every: int = 8, ahead: int = 256) -> DataFrame:
+def train(docs: DataFrame, content: Column, merges: int, cut_every: int = 8, ahead: int = 256, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(token, rank): the 256 bytes and one token for each merge of the most frequent pair (ties: the lesser pair).
 
     Pairs never cross documents. Ends when no pair occurs twice. Ids are characters, so at most 55,000 of them. One count
     of the pairs serves as many merges as it settles, looking at the first ``ahead`` pairs. Lineage is cut with
-    checkpoint() every few merges, in the session's checkpoint folder."""
+    checkpoint() every few merges, in the session's checkpoint folder. Content of up to ``local_bytes``, which is checked, is
+    trained on by the driver, with the same result."""
     spark = docs.sparkSession
     if merges > 55_000 - 256:
         raise ValueError("too many merges")
+    if (docs.agg(F.sum(F.octet_length(content))).first()[0] or 0) <= local_bytes:
+        blobs = [bytes(r[0]) for r in docs.select(content).collect() if r[0] is not None]
+        return spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(train_local(blobs, merges))], "token binary, rank int")
     z = docs.select(latin1(content).alias("z")).where("z is not null")
     tokens = [bytes([i]) for i in range(256)]
     cut = 256

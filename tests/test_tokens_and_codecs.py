@@ -82,7 +82,8 @@ def slow_train(texts, merges):
 @pytest.mark.parametrize("texts, merges", [([b"aaabbbaaabbb"], 5), ([b"the other then", b"there he is"], 8), ([], 3), ([b"abc"], 4), ([b"abab"], 0)])
 def test_training(spark, texts, merges):
     df = prepare(spark).createDataFrame([(bytearray(t),) for t in texts], "b binary")
-    assert [bytes(r.token) for r in vocabulary.train(df, F.col("b"), merges).orderBy("rank").collect()] == slow_train(texts, merges)
+    for most in (-1, 1 << 20):
+        assert [bytes(r.token) for r in vocabulary.train(df, F.col("b"), merges, local_bytes=most).orderBy("rank").collect()] == slow_train(texts, merges)
 
 
 VARINTS = [[], [0], [127], [128], [255, 256], [1000, 16383, 16384], [2097151, 2097152, 268435455, 268435456, 2**31 - 1]]
