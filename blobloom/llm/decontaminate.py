@@ -198,11 +198,16 @@ def covered(spans: bytes | None) -> int:
     return int(np.maximum(0, top - np.maximum(x[:, 0], np.concatenate([[0], top[:-1]]))).sum())
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = [covered(x) for x in column(b, "hits").to_pylist()]
-        items = [sorted(x or ()) for x in column(b, "items").to_pylist()]
-        yield pa.record_batch([column(b, "doc"), column(b, "n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())], ["doc", "n_words", "n_hit", "n_items", "sha"])
+def _finish(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = column(b, "hits").to_pylist()
+            hit = [covered(x) for x in spans]
+            full = [bool(x) and bool((np.diff(np.frombuffer(x, np.int32).reshape(-1, 2)) >= width).any()) for x in spans]
+            items = [sorted(x or ()) for x in column(b, "items").to_pylist()]
+            yield pa.record_batch([column(b, "doc"), column(b, "n_words"), pa.array(hit, pa.int64()), pa.array(full, pa.bool_()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())], ["doc", "n_words", "n_hit", "full", "n_items", "sha"])
+
+    return run
 
 
 def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list[tuple[object, str | None]]]]:
@@ -225,14 +230,16 @@ def search(postings: DataFrame, w: Windows) -> DataFrame:
 
 
 def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc (the whole row), n_words, n_hit, n_items and sha (of the sorted items)."""
+    """doc (the whole row), n_words, n_hit, full (whether a window of width words occurs, not only items that are shorter), n_items
+    and sha (of the sorted items)."""
     n, block = blocks(items, limit)
-    kinds = added(docs, "n_words long, n_hit long, n_items long, sha string")
+    finish = _finish(width)
+    kinds = added(docs, "n_words long, n_hit long, full boolean, n_items long, sha string")
     if n == 1:
         w = Windows(block(0), width)
         # index(), search() and what follows, in one pass of one worker.
         made, looked_up = _index(w.vocabulary), _search(w)
-        return whole(docs).mapInArrow(lean(lambda batches: _finish(looked_up(made(batches)))), kinds)
+        return whole(docs).mapInArrow(lean(lambda batches: finish(looked_up(made(batches)))), kinds)
     stored = written(index(docs).withColumn("row", F.monotonically_increasing_id()), "positions")
     found = None
     for k in range(n):
@@ -241,7 +248,7 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WINDOW, limit: int = BL
     # Spans and items of a row from all blocks; hits are joined in any order, they are intervals.
     each = found.groupBy("row").agg(F.unhex(F.array_join(F.collect_list(F.hex("hits")), "")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     out = stored.select("row", "doc", "n_words").join(each, "row", "left").select("doc", "n_words", "hits", "items")
-    return out.mapInArrow(lean(_finish), kinds)
+    return out.mapInArrow(lean(finish), kinds)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -107,6 +107,16 @@ def test_toxic_documents_go(spark, tmp_path):
     assert len(set(toxic) & set(kept)) <= 2 and len(set(clean) - set(kept)) <= 5
 
 
+def test_passages_in_long_documents(spark, folder):
+    _, items, _ = corpus()
+    passage = items[0][1].split()
+    rest = [f"w{i}" for i in range(2000)]
+    spark.createDataFrame([*items, (9, "w5 w6")], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    rows = [(1, [*rest, *passage, *rest]), (2, [*rest, *passage[:13], *rest]), (3, [*rest, *passage[:12], *rest]), (4, rest), (5, ["w5", "w6", "w7"])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], COLUMNS)
+    assert sorted(r.doc_id for r in cp.drop_contaminated(spark, docs, folder).collect()) == [3, 4]
+
+
 def test_columns_of_any_name(spark, folder):
     table = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id as n_words", "text as hits", "lang as lang_pred", "1 as p", "2 as doc", "3 as copies", "4 as component_id")
     docs = table
