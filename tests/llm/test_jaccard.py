@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from blobloom.llm import jaccard
+from blobloom.llm import common, jaccard
 from blobloom.llm.common import prepare
 
 DOCS = "doc_id long, text string, lang string, digest string, bucket int"
@@ -98,3 +99,24 @@ def test_empty(spark):
 def test_boundary_has_the_fewest_keys():
     assert jaccard.boundary([(10, 100)]) == 0
     assert all(jaccard.matches(n, s) >= jaccard.evidence(n) + max(jaccard.groups(n, s), jaccard.groups(m, s)) for s in (0, 24) for n in range(1, 700) for m in range((6 * n + 9) // 10, n * 10 // 6 + 1))
+
+
+@pytest.mark.parametrize("turns", [2, 5])
+def test_rounds_change_nothing(spark, turns):
+    rows = fixture()
+    assert run(spark, rows, turns=turns) == brute(rows)
+
+
+def test_what_is_done_leaves_the_disk(spark, tmp_path, monkeypatch):
+    shuffles = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    marked, old = jaccard._marked, set()
+    monkeypatch.setattr(jaccard, "_marked", lambda rep: old.update(shuffles()) or marked(rep))
+    df = prepare(spark).createDataFrame([(d, t, "en", "x", 1) for d, t in fixture()], DOCS)
+    jaccard.links(df)
+    assert {p.name.split("-")[0] for p in tmp_path.glob("*/*")} == {"shingles", "links"}
+    # Of what was shuffled before sets were sent nothing is left.
+    end = time.time() + 10
+    while shuffles() & old and time.time() < end:
+        time.sleep(0.2)
+    assert old and not shuffles() & old
