@@ -142,3 +142,31 @@ def test_squeezed_arrays():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.float32), np.array([True, False]), np.array([1.5])]
     for a, b in zip(arrays, unsqueeze(squeeze(*arrays))):
         assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_frequent_contexts_are_whole(spark):
+    # Spread over buckets, down to contexts of three words and the starts, a model is the same: that of the definition.
+    rows = fixture() + [(400 + i, "on the on the on the on er the") for i in range(60)]
+    df = prepare(spark).createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    key = lambda r: (str(r[0]), r[2])
+    want, tree = slow_scores(rows, 1 << 60)
+    kept = None
+    for split, common in ((30, 1 << 19), (30, 0), (1 << 60, 1 << 19)):
+        got = sorted(sc.scores(df, split=split, common=common).collect(), key=key)
+        for g, x in zip(got, sorted(want, key=key), strict=True):
+            assert abs(g.score - x[6]) <= 1e-6 * (1 + x[2]), (split, common, g, x)
+        if common:
+            found = sorted((r.context, tuple(r.before), r.n, r.followers) for r in sc.tree(df, split=split).collect())
+            kept = kept or found
+            assert found == kept and len(found) == len(set(found)) == len(tree)
+
+
+def test_query_has_no_switch_by_size(spark, monkeypatch):
+    rows = [(i, t) for i, t in fixture() if i is not None]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    one = sorted((r.doc_id, r.n_tokens, r.score) for r in sc.scores(df).collect())
+    for name in ("HOT", "SPLIT"):
+        monkeypatch.setattr(sc, name, 40)
+    monkeypatch.setattr(sc.scores, "__defaults__", tuple(40 if x == 1 << 20 else x for x in sc.scores.__defaults__))
+    other = sorted((r.doc_id, r.n_tokens, r.score) for r in sc.scores(df).collect())
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-6 * (1 + a[1]) for a, b in zip(one, other, strict=True))
