@@ -120,3 +120,21 @@ def test_what_is_done_leaves_the_disk(spark, tmp_path, monkeypatch):
     while shuffles() & old and time.time() < end:
         time.sleep(0.2)
     assert old and not shuffles() & old
+
+
+def test_postings_are_packed():
+    # Smaller than as plain columns: 26 bytes for each set in a bucket, 4 for each key.
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 3000, 120))) for _ in range(300)]
+    none = jaccard.Table(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    # Among so many words all shingles are light, so they are posted by themselves.
+    words = jaccard.Table(np.ones(1, np.uint64), np.full(1, 1 << 40))
+    found = list(jaccard._postings(words, none, 20, 40)(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    sets, _ = jaccard.shingle_sets(*jaccard.tv.buffers(pa.array(texts)))
+    posted = [len(s) - int(jaccard.required(len(s))) + jaccard.matches(len(s), 20) for s in sets]
+    # With keys spread evenly, a set of p keys is in 40 * (1 - (1 - 1 / 40) ** p) buckets.
+    plain = sum(26 * 40 * (1 - (1 - 1 / 40) ** p) + 4 * p for p in posted)
+    size = sum(b.nbytes for b in found)
+    assert size < 0.95 * plain, (size, plain)
