@@ -1,8 +1,10 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blobloom.llm import common, jaccard
@@ -124,8 +126,6 @@ def test_what_is_done_leaves_the_disk(spark, tmp_path, monkeypatch):
 
 def test_postings_are_packed():
     # Smaller than as plain columns: 26 bytes for each set in a bucket, 4 for each key.
-    import pyarrow as pa
-
     rng = np.random.default_rng(5)
     texts = [" ".join(map(str, rng.integers(0, 3000, 120))) for _ in range(300)]
     none = jaccard.Table(np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -138,3 +138,37 @@ def test_postings_are_packed():
     plain = sum(26 * 40 * (1 - (1 - 1 / 40) ** p) + 4 * p for p in posted)
     size = sum(b.nbytes for b in found)
     assert size < 0.95 * plain, (size, plain)
+
+
+@pytest.mark.parametrize("each", [50, 9000, 10**9])
+def test_pairs_of_a_bucket_are_made_a_part_at_a_time(monkeypatch, each):
+    """All classes of a bucket share three keys: each pair comes once, with all that it shares, however few are made at a time."""
+    m = 150
+    monkeypatch.setattr(jaccard, "PAIRS", each)
+    monkeypatch.setattr(jaccard, "SENT", 500)
+    ids = np.sort(np.random.default_rng(3).integers(-(2**62), 2**62, m)).astype(np.int64)
+    head = np.full(m * jaccard.HEADS, 2**32 - 1, np.uint32), np.full(m * jaccard.HEADS, 2**16 - 1, np.uint16)
+    fields = (np.diff(ids.view(np.uint64), prepend=np.uint64(0)), np.full(m, 40, np.uint32), np.full(m, 3, np.uint32), *head, np.tile(np.array([5, 6, 9], np.uint32), m))
+    batch = pa.record_batch([pa.array([2], pa.int32()), pa.array([common.squeeze(*(p for v in fields for p in jaccard._planes(v)))], pa.binary())], ["bucket", "data"])
+    made = [b for b in jaccard._candidates(16, 4000)((pa.scalar(2),), iter([batch])) if b.num_rows]
+    assert max(b.num_rows for b in made) <= 500
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert {(r["shared"], r["need"]) for r in rows} == {(3, jaccard.evidence(40))}
+    assert sorted((r["a"], r["b"]) for r in rows) == [(int(ids[i]), int(ids[j])) for i in range(m) for j in range(i + 1, m)]
+
+
+def test_memory_of_a_bucket_is_bounded(monkeypatch):
+    peaks = []
+    for m in (1000, 3000):
+        monkeypatch.setattr(jaccard, "PAIRS", 20_000)
+        steps = np.full(m, 7, np.uint64)
+        head = np.full(m * jaccard.HEADS, 2**32 - 1, np.uint32), np.full(m * jaccard.HEADS, 2**16 - 1, np.uint16)
+        planes = [p for v in (steps, np.full(m, 40, np.uint32), np.full(m, 1, np.uint32), *head, np.full(m, 5, np.uint32)) for p in jaccard._planes(v)]
+        batch = pa.record_batch([pa.array([2], pa.int32()), pa.array([common.squeeze(*planes)], pa.binary())], ["bucket", "data"])
+        tracemalloc.start()
+        n = sum(b.num_rows for b in jaccard._candidates(16, 4000)((pa.scalar(2),), iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == m * (m - 1) // 2
+    # Nine times the pairs of three times the classes.
+    assert peaks[1] < 3 * peaks[0]
