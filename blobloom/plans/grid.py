@@ -95,12 +95,22 @@ def filtered(measured: DataFrame, category: str = "", size_kb: int | None = None
     return out if size_kb is None else out.where(F.col("size_kb") == size_kb)
 
 
+def tenths(x: Column) -> Column:
+    """A double with one decimal as C prints it: rounded by its exact binary value, ties to the even digit; null stays null. (The
+    JVM rounds its shortest decimal form, ties up.)"""
+    v = F.abs(x)
+    k = F.floor(v * 10)
+    # 20 v against 2 k + 1, the middle: 16 v, 4 v and the difference of numbers this near are exact.
+    over = (16 * v - (2 * k + 1)) + 4 * v
+    up = F.when((over > 0) | (over == 0) & (k % 2 == 1), k + 1).otherwise(k)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(up / 10).cast("string"), F.lit("."), (up % 10).cast("string"))
+
+
 def formatted(measured: DataFrame, *keep: str) -> DataFrame:
     """The figures of a report as it prints them: percent and kilobytes with one decimal, whether there is a gain, and the
     category's style name."""
-    # Kilobytes are exact in binary, so their ties are ties: they go to the even digit.
-    kb = lambda x: F.format_string("%.1f", F.bround(F.col(x) / 1024, 1))
-    return measured.select(*keep, F.format_string("%.1f", "gain").alias("gain_pct"), kb("original").alias("original_kb"), kb("packed").alias("packed_kb"), (F.col("gain") > 0).alias("positive"), F.lower("category").alias("style"))
+    kb = lambda x: tenths(F.col(x) / 1024)
+    return measured.select(*keep, tenths(F.col("gain")).alias("gain_pct"), kb("original").alias("original_kb"), kb("packed").alias("packed_kb"), (F.col("gain") > 0).alias("positive"), F.lower("category").alias("style"))
 
 
 def report(measured: DataFrame, path: str) -> None:

@@ -38,3 +38,10 @@ def test_measures_are_real(spark):
         assert r.packed - grid.CONTAINER <= min(r.deflate_only, r.original)
     total = {(r.category, r.size_kb): (r.tests, r.wins) for r in grid.summary(grid.measure(grid.generate(spark, (2,)).where("kind in ('english', 'json')"), tokens)).collect()}
     assert total[None, None] == (2, 2) and total[None, 2] == (2, 2) and total["prose", None] == (1, 1)
+
+
+def test_figures_are_rounded_as_c_prints_them(spark):
+    # Ties of exact binary values go to the even digit; what only looks like a tie goes by its binary value.
+    xs = [31.25, 81.25, 6.25, 0.25, 0.75, -31.25, 0.05, 0.15, 0.35, 1.45, 12.35, -0.04, 0.0, 99.95, 1234.5, -7.05, 2.0, 31.3, *(k / 1024 for k in range(0, 3000, 64)), *(k / 100 for k in range(5, 4000, 10))]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate([*xs, None])], "i int, x double").select("i", grid.tenths(F.col("x")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == [*("%.1f" % x for x in xs), None]
