@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,20 @@ def read_varints(data: bytes) -> list[int]:
 
 #: Blobs that are coded in step at least; fewer are coded one after another.
 FEW = 24
+#: Blobs that are coded in step at most; decoding holds a table of SCALE bytes for each.
+TOGETHER = 2048
+#: Bytes of a batch that an Arrow function turns into Python objects at a time.
+PIECE = 8 << 20
+
+
+def _in_step(blobs: list[bytes], sizes: list[int], code) -> list[bytes]:
+    """code() over blobs of like sizes, TOGETHER at a time."""
+    order, out = sorted(range(len(blobs)), key=lambda i: -sizes[i]), [b""] * len(blobs)
+    for begin in range(0, len(order), TOGETHER):
+        some = order[begin : begin + TOGETHER]
+        for i, made in zip(some, code([blobs[i] for i in some])):
+            out[i] = made
+    return out
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -86,6 +102,10 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 def rans_encode(blobs: list[bytes]) -> list[bytes]:
     """Length (u32), 256 frequencies (u16), state (u32) and bytes of each blob, little-endian; an empty one is 4 zero bytes."""
+    return _in_step(blobs, [len(b) for b in blobs], _encode)
+
+
+def _encode(blobs: list[bytes]) -> list[bytes]:
     out = [b"\0\0\0\0"] * len(blobs)
     live = sorted((i for i, b in enumerate(blobs) if b), key=lambda i: -len(blobs[i]))
     if not live:
@@ -94,22 +114,22 @@ def rans_encode(blobs: list[bytes]) -> list[bytes]:
     freq = np.stack([frequencies(np.bincount(np.frombuffer(blobs[i], np.uint8), minlength=256)) for i in live])
     cum = np.cumsum(freq, 1) - freq
     # Aligned at the ends: the last bytes of all blobs come first.
-    grid = np.zeros((int(size[0]), m), np.uint8)
-    for j, i in enumerate(live):
-        grid[: size[j], j] = np.frombuffer(blobs[i], np.uint8)[::-1]
+    flat = np.frombuffer(b"".join(blobs[i] for i in live), np.uint8)
+    end = np.cumsum(size)
     state = np.full(m, LOWER, np.int64)
-    written = np.zeros((2 * int(size[0]) + 8, m), np.uint8)
+    room = 2 * size + 8
+    written, base = np.zeros(int(room.sum()), np.uint8), np.cumsum(room) - room
     used = np.zeros(m, np.int64)
     count = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     alone = int(np.searchsorted(-count, -FEW, "right"))
     row = np.arange(m)
     for k, n in enumerate(count[:alone].tolist()):
-        s = grid[k, :n]
+        s = flat[end[:n] - (k + 1)]
         x, r = state[:n], row[:n]
         f = freq[r, s]
         top = ((LOWER >> SCALE_BITS) << 8) * f
         while (big := np.flatnonzero(x >= top)).size:
-            written[used[big], big] = x[big] & 255
+            written[base[big] + used[big]] = x[big] & 255
             used[big] += 1
             x[big] >>= 8
         state[:n] = ((x // f) << SCALE_BITS) + x % f + cum[r, s]
@@ -117,22 +137,26 @@ def rans_encode(blobs: list[bytes]) -> list[bytes]:
     for j in np.flatnonzero(size > alone).tolist():
         x, rest = int(state[j]), bytearray()
         f, c = freq[j].tolist(), cum[j].tolist()
-        for s in grid[alone : size[j], j].tolist():
+        for s in flat[end[j] - size[j] : end[j] - alone][::-1].tolist():
             n = f[s]
             top = ((LOWER >> SCALE_BITS) << 8) * n
             while x >= top:
                 rest.append(x & 255)
                 x >>= 8
             x = (x // n << SCALE_BITS) + x % n + c[s]
-        written[used[j] : used[j] + len(rest), j] = rest
+        written[base[j] + used[j] : base[j] + used[j] + len(rest)] = rest
         used[j] += len(rest)
         state[j] = x
     for j, i in enumerate(live):
-        out[i] = struct.pack("<I", int(size[j])) + freq[j].astype("<u2").tobytes() + struct.pack("<I", int(state[j])) + written[: used[j], j][::-1].tobytes()
+        out[i] = struct.pack("<I", int(size[j])) + freq[j].astype("<u2").tobytes() + struct.pack("<I", int(state[j])) + written[base[j] : base[j] + used[j]][::-1].tobytes()
     return out
 
 
 def rans_decode(blobs: list[bytes]) -> list[bytes]:
+    return _in_step(blobs, [struct.unpack_from("<I", b)[0] if len(b) > 3 else 0 for b in blobs], _decode)
+
+
+def _decode(blobs: list[bytes]) -> list[bytes]:
     out = [b""] * len(blobs)
     live = []
     for i, b in enumerate(blobs):
@@ -156,7 +180,7 @@ def rans_decode(blobs: list[bytes]) -> list[bytes]:
     base = np.cumsum(end) - end
     flat = np.frombuffer(b"".join(blobs[i] for _, i in live), np.uint8)
     at = np.full(m, 520, np.int64)
-    grid = np.zeros((int(size[0]), m), np.uint8)
+    made, first = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
     row = np.arange(m)
     count = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
     alone = int(np.searchsorted(-count, -FEW, "right"))
@@ -164,7 +188,7 @@ def rans_decode(blobs: list[bytes]) -> list[bytes]:
         x, r = state[:n], row[:n]
         slot = x & (SCALE - 1)
         s = symbol[r, slot]
-        grid[k, :n] = s
+        made[first[:n] + k] = s
         x = freq[r, s] * (x >> SCALE_BITS) + slot - cum[r, s]
         while (low := np.flatnonzero((x < LOWER) & (at[:n] < end[:n]))).size:
             x[low] = x[low] << 8 | flat[base[low] + at[low]]
@@ -181,23 +205,36 @@ def rans_decode(blobs: list[bytes]) -> list[bytes]:
             while x < LOWER and p < last:
                 x = x << 8 | b[p]
                 p += 1
-        grid[alone : size[j], j] = rest
+        made[first[j] + alone : first[j] + size[j]] = rest
         state[j], at[j] = x, p
     if (state != LOWER).any() or (at != end).any():
         raise Damaged("the state doesn't end where it began")
     for j, (n, i) in enumerate(live):
-        out[i] = grid[:n, j].tobytes()
+        out[i] = made[first[j] : first[j] + n].tobytes()
     return out
 
 
+def pieces(content: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a binary array of about PIECE bytes each, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PIECE, "right")))
+        yield content.slice(begin, end - begin)
+        begin = end
+
+
 def _udf(fn, many: bool = False):
     """An Arrow UDF over BINARY of a function of one blob, or of a list of blobs; null stays null."""
 
     @F.arrow_udf(T.BinaryType())
     def run(content: pa.Array) -> pa.Array:
-        have = [x.as_py() for x in content if x.is_valid]
-        made = iter(fn(have) if many else map(fn, have))
-        return pa.array([next(made) if x.is_valid else None for x in content], pa.binary())
+        out = []
+        for part in pieces(content):
+            have = [x.as_py() for x in part if x.is_valid]
+            made = iter(fn(have) if many else map(fn, have))
+            out.append(pa.array([next(made) if x.is_valid else None for x in part], pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run
 

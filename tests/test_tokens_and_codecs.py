@@ -233,3 +233,61 @@ def test_compressor(spark):
         for method in (None, codecs.RANS_TOKENS, codecs.DEFLATE_TOKENS):
             back = engine.decompress(engine.compress(df, "b", ["id"], method), ["id"]).collect()
             assert {r.id: (bytes(r.content), r.error) for r in back} == {1: (b"the thing " * 30, None), 2: (b"", None)}
+
+
+def test_range_coding_holds_what_it_codes_not_a_rectangle():
+    import random
+    import tracemalloc
+
+    rng = random.Random(7)
+    blobs = [bytes(rng.choices(b"abcde ", k=20_000)), b"", *(bytes(rng.choices(b"abcde ", k=rng.randrange(1, 40))) for _ in range(3000))]
+    tracemalloc.start()
+    packed = codecs.rans_encode(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    back = codecs.rans_decode(packed)
+    peaks = peak, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == blobs and [codecs.rans_encode([b])[0] for b in blobs[:9]] == packed[:9]
+    # A grid of 3002 blobs by 20,000 bytes would be 60 MB three times over, tables of all blobs 50 MB.
+    assert peaks[0] < 40 << 20 and peaks[1] < 80 << 20
+
+
+def test_arrow_functions_take_a_batch_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(codecs, "PIECE", 10)
+    x = pa.array([b"a" * 4, None, b"b" * 30, b"", b"c" * 5, b"d" * 6, None], pa.binary())
+    parts = list(codecs.pieces(x))
+    assert pa.concat_arrays(parts).to_pylist() == x.to_pylist() and len(parts) > 2
+    assert all(len(p) == 1 or sum(len(v or b"") for v in p.to_pylist()) <= 10 for p in parts)
+    assert list(codecs.pieces(x.slice(0, 0))) == []
+
+
+def test_pairs_are_counted_across_pieces(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(vocabulary, "PIECE", 3)
+    texts = ["abcabcabca", "", None, "z", "aaaaaaa", "éÿéÿ", "abĀabĀa", "xy"]
+    want = Counter(t[i : i + 2] for t in texts if t for i in range(len(t) - 1))
+    # The function is sent to workers as it is here, so the piece is counted in this process.
+    run = {}
+
+    class Rows:
+        def select(self, text):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            import pyarrow as pa
+
+            for b in fn(iter([pa.record_batch([pa.array(texts[:5])], ["z"]), pa.record_batch([pa.array(texts[5:])], ["z"])])):
+                run.update({p: run.get(p, 0) + n for p, n in zip(b["pair"].to_pylist(), b["n"].to_pylist())})
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        agg = groupBy
+
+    vocabulary.pair_counts(Rows())
+    assert run == dict(want)
