@@ -291,3 +291,15 @@ def test_pairs_are_counted_across_pieces(spark, monkeypatch):
 
     vocabulary.pair_counts(Rows())
     assert run == dict(want)
+
+
+def test_nested_pattern_cuts_like_the_trie(spark):
+    from blobloom.functions import bytesx
+
+    few = tuple(w.encode() for w in ("the ", "the", "he", "er", "erth", "ción", "ci", "a.c", "an"))
+    rows = [(i, t) for i, t in enumerate(["the theerther", "nación ciao a.c abc", "", "éèthe\nan", "ertherterth"])]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", bytesx.latin1(bytesx.as_bytes(F.col("t"))).alias("l1"))
+    trie = vocabulary.Trie((*(bytes([i]) for i in range(256)), *few))
+    for r in df.select("i", vocabulary.encode_regex(F.col("l1"), few).alias("p"), vocabulary.encode_regex(F.col("l1"), few, False).alias("q")).collect():
+        want = [bytes([k]) if k < 256 else few[k - 256] for k in trie.encode(rows[r.i][1].encode())]
+        assert [p.encode("latin-1") for p in r.p] == want and [p.encode("latin-1") for p in r.q] == [w for w in want if len(w) > 1]
