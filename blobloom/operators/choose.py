@@ -75,12 +75,16 @@ def compress(df: DataFrame, content: str, keep: list[str], vocabularies: dict[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
+            # Equal blobs of a batch are encoded once.
+            seen: dict[tuple, tuple] = {}
             for data, v, methods in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("__blob", "vocabulary", "tried"))):
                 data = bytes(data)
-                tokens = vocabularies.get(v) or vocabularies["text"]
-                made = [(encode(data, m, tokens), m) for m in methods]
-                best = min(made, key=lambda x: len(x[0]))
-                out.append((best[1], len(data), best[0], len(best[0]), zlib.crc32(data)))
+                known = data, v, tuple(methods)
+                if known not in seen:
+                    tokens = vocabularies.get(v) or vocabularies["text"]
+                    best = min(((encode(data, m, tokens), m) for m in methods), key=lambda x: len(x[0]))
+                    seen[known] = best[1], len(data), best[0], len(best[0]), zlib.crc32(data)
+                out.append(seen[known])
             m, n, packed, k, crc = zip(*out) if out else ((),) * 5
             cols = [b.column(i) for i in range(len(keep))] + [b.column(b.schema.get_field_index("type")), b.column(b.schema.get_field_index("vocabulary"))]
             yield pa.record_batch([*cols, pa.array(m, pa.int16()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(k, pa.int64()), pa.array(crc, pa.int64())], [*keep, "type", "vocabulary", "method", "size", "packed", "packed_size", "crc"])

@@ -136,14 +136,20 @@ _signs = [([ord(x) for x in chars], s, t) for chars, s, t in CODE_SIGNS]
 
 @F.arrow_udf(_MEASURES)
 def measures(content: pa.Array, text: pa.Array) -> pa.Array:
-    """Everything that a profile says of a sample and of its text."""
-    out = []
+    """Everything that a profile says of a sample and of its text; equal samples of a batch are measured once."""
+    out: list[tuple] = []
+    seen: dict[tuple[bytes, str], tuple] = {}
     for x, t in zip(_views(content), text.to_pylist()):
+        known = x.tobytes(), t
+        if known in seen:
+            out.append(seen[known])
+            continue
         c, n = np.bincount(x, minlength=256), max(len(x), 1)
         p = c[c > 0] / n
         tenths = sum(w for at, s, w in _signs if (c[at].sum() / n > s if s > 0 else c[at].sum() / n < -s)) if len(x) else 0
         f = rules.forms(t)
         out.append((float(-(p * np.log2(p)).sum()) + 0.0, int((c > 0).sum()), repetition(x), float(c[_plain].sum() / n), min(tenths, 10), _format(*f), _markup(*f), _nat_language(f), _guess(f)))
+        seen[known] = out[-1]
     cols = list(zip(*out)) or [()] * 9
     kinds = [pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), *[pa.string()] * 4]
     return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], [f.name for f in _MEASURES])

@@ -11,7 +11,7 @@ import os
 import re
 import stat
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -26,6 +26,8 @@ from ..operators import choose, codecs
 from . import zipformat as zf
 
 Vocabularies = dict[str, tuple[bytes, ...]]
+#: Bytes of a batch that is sent, beyond which no row is added, and rows that are turned into Python objects at a time.
+BATCH, SLICE = 4 << 20, 1024
 
 
 def _column(b: pa.RecordBatch, name: str) -> pa.Array:
@@ -127,8 +129,9 @@ def read_entries(archives: DataFrame, key: str, vocabularies: Vocabularies, patt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, data in zip(_column(b, key).to_pylist(), _column(b, content).to_pylist()):
-                data, out = bytes(data or b""), []
+            out, size, kind = [], 0, b.schema.field(key).type
+            for k, data in ((k.as_py(), data.as_py()) for k, data in zip(_column(b, key), _column(b, content))):
+                data = data or b""
                 try:
                     found = [e for e in zf.entries(data) if wanted(e["name"])]
                 except zf.Invalid:
@@ -137,12 +140,19 @@ def read_entries(archives: DataFrame, key: str, vocabularies: Vocabularies, patt
                     try:
                         tokens = vocabularies.get(zf.VOCAB_NAMES.get((e["vocab"] or {}).get("prog", 0), "text")) or vocabularies["text"]
                         got = choose.decode(zf.body(data, e), e["method"], tokens)
-                        out.append((e["ordinal"], e["name"], got, None if zlib.crc32(got) == e["crc32"] else "checksum differs"))
+                        out.append((k, e["ordinal"], e["name"], got, None if zlib.crc32(got) == e["crc32"] else "checksum differs"))
+                        size += len(got)
                     except (ValueError, IndexError) as problem:
-                        out.append((e["ordinal"], e["name"], None, str(problem)))
-                if out:
-                    o, n, d, x = zip(*out)
-                    yield pa.record_batch([pa.array([k] * len(out), b.schema.field(key).type), pa.array(o, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(x, pa.string())], [key, "ordinal", "name", "data", "error"])
+                        out.append((k, e["ordinal"], e["name"], None, str(problem)))
+                    if size > BATCH:
+                        yield batch(out, kind)
+                        out, size = [], 0
+            if out:
+                yield batch(out, kind)
+
+    def batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        k, o, n, d, x = zip(*out)
+        return pa.record_batch([pa.array(k, kind), pa.array(o, pa.int32()), pa.array(n, pa.string()), pa.array(d, pa.binary()), pa.array(x, pa.string())], [key, "ordinal", "name", "data", "error"])
 
     return archives.select(key, content).mapInArrow(run, T.StructType([archives.schema[key], *T.StructType.fromDDL("ordinal int, name string, data binary, error string").fields]))
 
@@ -212,23 +222,41 @@ def _sorted(encoded: DataFrame) -> DataFrame:
 
 def pack(encoded: DataFrame) -> DataFrame:
     """(archive_id, content): whole archives as cells of up to 2 GB."""
-    key = encoded.schema["archive_id"]
+    return _packed(_sorted(encoded), lambda rows: _assemble(rows))
+
+
+def _packed(rows: DataFrame, assemble: Callable[[Iterator[dict]], Iterator[tuple[object, bytes, bool]]]) -> DataFrame:
+    """(archive_id, content) of the pieces that assemble() makes of rows; archives are sent about BATCH bytes at a time."""
+    key = rows.schema["archive_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, _arrow(key)), pa.array(made, pa.binary())], ["archive_id", "content"])
+
         parts: list[bytes] = []
-        for k, data, last in _assemble(r for b in batches for r in b.to_pylist()):
+        keys, made, size = [], [], 0
+        for k, data, last in assemble(r for b in batches for at in range(0, b.num_rows, SLICE) for r in b.slice(at, SLICE).to_pylist()):
             parts.append(data)
             if last:
-                yield pa.RecordBatch.from_arrays([pa.array([k], _arrow(key)), pa.array([b"".join(parts)], pa.binary())], ["archive_id", "content"])
+                keys.append(k)
+                made.append(b"".join(parts))
+                size += len(made[-1])
                 parts = []
+                if size > BATCH or len(keys) >= SLICE:
+                    yield batch()
+                    keys, made, size = [], [], 0
+        if keys:
+            yield batch()
 
-    return _sorted(encoded).mapInArrow(run, T.StructType([key, T.StructField("content", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([key, T.StructField("content", T.BinaryType())]))
 
 
 def single(rows: DataFrame, key: str, name: Column, content: Column, vocabularies: Vocabularies, mtime: Column | None = None) -> DataFrame:
-    """(archive_id, content): an archive of one entry for each row."""
+    """(archive_id, content): an archive of one entry for each row. Rows need no others, so nothing is shuffled; equal or null
+    keys have an archive for each row."""
     when = F.lit(None).cast("timestamp") if mtime is None else mtime
-    return pack(encode_entries(rows.select(F.col(key).alias("archive_id"), F.lit(0).alias("ordinal"), name.alias("name"), F.lit("file").alias("kind"), content.alias("content"), F.lit(None).cast("string").alias("link_target"), when.alias("mtime"), F.lit(0o644).alias("mode")), vocabularies))
+    entries = encode_entries(rows.select(F.col(key).alias("archive_id"), F.lit(0).alias("ordinal"), name.alias("name"), F.lit("file").alias("kind"), content.alias("content"), F.lit(None).cast("string").alias("link_target"), when.alias("mtime"), F.lit(0o644).alias("mode")), vocabularies)
+    return _packed(entries, lambda rows: (piece for r in rows for piece in _assemble(iter([r]))))
 
 
 def _arrow(field: T.StructField) -> pa.DataType:

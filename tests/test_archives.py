@@ -173,3 +173,16 @@ def test_dos_columns(spark):
     got = df.select(zf.dos_date_word(F.col("t")).alias("d"), zf.dos_time_word(F.col("t")).alias("c")).collect()
     assert [(r.d, r.c) for r in got] == [zf.dos_time(T0), (0, 0)]
     assert spark.range(1).select(zf.dos_timestamp(F.lit(0), F.lit(0)).alias("a"), zf.dos_timestamp(F.lit(512), F.lit(0)).alias("b")).first() == (None, None)
+
+
+def test_single_archives_share_batches_and_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i // 2 if i < 40 else None, f"{{\"k\": {i % 7}}}") for i in range(60)], "id long, props string").coalesce(1)
+    vocab = {"text": tuple(bytes([i]) for i in range(256))}
+    made = archives.single(rows, "id", F.lit("x.json"), F.encode("props", "UTF-8"), vocab)
+    assert "Exchange hash" not in made._jdf.queryExecution().toString()
+    got = archives.read_entries(made, "archive_id", vocab)
+    assert sorted((r.archive_id is None, r.archive_id or 0, bytes(r.data).decode(), r.error) for r in got.collect()) == sorted((r.id is None, r.id or 0, r.props, None) for r in rows.collect())
+    sizes = got.select("archive_id").mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "archive_id long")
+    assert sizes.count() < 20
